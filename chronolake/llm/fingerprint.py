@@ -1,7 +1,7 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A text's paragraphs are its lines, cut as well after sentence ends before a letter of the
-alphabet's first half, so that cuts depend on content and long lines have several digests;
+A text's paragraphs are its lines, cut as well after sentence ends before the letters
+a to f, so that cuts depend on content and long lines have several digests;
 its digests are the distinct 64-bit hashes of the paragraphs. A sketch has three parts of cells; each digest
 goes to one cell of each part, and a cell keeps a count, the exclusive-or of its digests
 and that of their checks. Sketches of two versions subtract cell by cell; peeling takes a
@@ -36,17 +36,17 @@ LONGS = "CAST(array() AS array<bigint>)"
 
 def digests(text: str) -> str:
     """SQL of a text's distinct digests."""
-    return f"array_distinct(transform(filter(split({text}, '\\\\n|(?<=[.!?])\\\\s+(?=[A-Na-n])', -1), x -> x <> ''), x -> xxhash64(x)))"
+    return f"array_distinct(transform(filter(split({text}, '\\\\n|(?<=[.!?])\\\\s+(?=[A-Fa-f])', -1), x -> x <> ''), x -> xxhash64(x)))"
 
 
 def cell_of(key: str, j: int, part: str, seed: int) -> str:
-    """SQL of the cell of part ``j`` that a digest goes to."""
-    return f"CAST({j} * {part} + pmod(xxhash64({key}, {seed * 3 + j}), {part}) AS INT)"
+    """SQL of the cell of part ``j`` that a digest goes to: other bits of it for each part and seed."""
+    return f"CAST({j} * {part} + pmod(shiftright({key}, {(7, 11, 3)[seed] + (18, 17, 19)[seed] * j}), {part}) AS INT)"
 
 
 def placed(key: str, n: str, part: str, seed: int) -> str:
     cells = ", ".join(cell_of(key, j, part, seed) for j in range(3))
-    return f"named_struct('key', {key}, 'n', {n}, 'chk', xxhash64({key}, 'check'), 'at', array({cells}))"
+    return f"named_struct('key', {key}, 'n', {n}, 'chk', xxhash64({key}), 'at', array({cells}))"
 
 
 def cells(entries: str, part: str) -> str:
@@ -77,7 +77,7 @@ def difference(mine: str, theirs: str, part: str, seed: int) -> str:
 
 def peel(left: str, part: str, seed: int) -> str:
     """SQL of (ok, mine, theirs): whether no cell remains, and the digests recovered on either side."""
-    pure = f"array_distinct(transform(filter(s.left, c -> (c.n = 1 OR c.n = -1) AND c.chk = xxhash64(c.key, 'check')), c -> {placed('c.key', 'c.n', part, seed)}))"
+    pure = f"array_distinct(transform(filter(s.left, c -> (c.n = 1 OR c.n = -1) AND c.chk = xxhash64(c.key)), c -> {placed('c.key', 'c.n', part, seed)}))"
     away = "IF(array_contains(e.at, t.i), named_struct('i', t.i, 'n', t.n - e.n, 'key', t.key ^ e.key, 'chk', t.chk ^ e.chk), t)"
     rest = f"filter(transform(s.left, c -> aggregate(p, c, (t, e) -> {away})), c -> c.n <> 0 OR c.key <> 0 OR c.chk <> 0)"
     found = lambda n: f"transform(filter(p, e -> e.n = {n}), e -> e.key)"

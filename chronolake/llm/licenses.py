@@ -172,11 +172,11 @@ no-warranty; 6; warrant; without (any )?warrant(y|ies) of any kind ;; without ev
 
 
 def rules() -> list[tuple[str, int, str, str]]:
-    """(label, priority, keyword, regex) in order; regexes begin and end at word bounds."""
+    """(label, priority, keyword, regex) in order; regexes begin and end at word bounds and take in a leading grant."""
     out = []
     for line in SIGNATURES.strip().splitlines():
         label, priority, keyword, regexes = line.split("; ", 3)
-        out += [(label, int(priority), keyword, rf"\b{x}\b") for x in regexes.split(" ;; ")]
+        out += [(label, int(priority), keyword, rf"\b(?:(?:this work is )?licen[cs]ed under (?:the |a |an )?)?(?:{x})\b") for x in regexes.split(" ;; ")]
     return out
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chronolake.llm import decontam, fingerprint, langid, licenses, mixing, secrets, sharding, simhash
+from chronolake.llm import decontam, fingerprint, langid, licenses, linededup, mixing, pii, secrets, sharding, simhash
 from chronolake.runtime import table
 
 
@@ -26,6 +26,14 @@ def op4_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_subword_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
@@ -48,6 +56,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_signatures": op2_license_signatures,
     "op3_trigram_secrets": op3_trigram_secrets,
     "op4_poisson_mixing": op4_poisson_mixing,
+    "op5_weak_supervision_pii": op5_weak_supervision_pii,
+    "op6_line_dedup": op6_line_dedup,
     "op7_subword_langid": op7_subword_langid,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_feistel_sharding": op9_feistel_sharding,

@@ -167,7 +167,7 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     # a map-side combine first: each document's postings come from one task
     alt = index.join(need, "trigram").groupBy("key", "rule", "grp", "alt", "size").agg(F.countDistinct("trigram").alias("n")).where("n = size")
     rule = alt.groupBy("key", "rule").agg(F.countDistinct("grp").alias("n")).join(groups, "rule").where("n = groups")
-    return rule.groupBy("key").agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("rule"))).alias("mask"))
+    return rule.groupBy("key").agg(F.bit_or(F.expr("shiftleft(1L, rule)")).alias("mask"))
 
 
 def spans(text: str, rule: Rule, order: int) -> str:
