@@ -13,8 +13,12 @@ KEYS, ORDER = ["o_custkey"], ["o_orderdate", "o_orderkey"]
 W_SQL = "PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey"
 
 
+#: Whole cents: sums are exact, so both engines give the same means whatever the order.
+CENTS = "CAST(round(o_totalprice * 100) AS BIGINT)"
+
+
 def orders(spark: SparkSession, d: str, *cols: str) -> DataFrame:
-    return table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice", *cols)
+    return table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice", F.expr(CENTS).alias("cents"), *cols)
 
 
 def events(spark: SparkSession, d: str, *cols: str) -> DataFrame:
@@ -28,11 +32,11 @@ def gate(agg: str, rows: str, least: int, x: str = "o_totalprice", w: str = W_SQ
 
 @query(
     "roll_mean_prior",
-    f"SELECT o_custkey, o_orderkey, round({gate('avg(o_totalprice)', '5', 3)}, 4) AS mean_5, round({gate('avg(o_totalprice)', '10', 5)}, 4) AS mean_10, round({gate('avg(o_totalprice)', '20', 10)}, 4) AS mean_20 FROM orders",
+    f"SELECT o_custkey, o_orderkey, {gate(f'avg({CENTS})', '5', 3)} AS mean_5, {gate(f'avg({CENTS})', '10', 5)} AS mean_10, {gate(f'avg({CENTS})', '20', 10)} AS mean_20 FROM orders",
 )
 def roll_mean_prior(spark: SparkSession, d: str) -> DataFrame:
     w = P.ordered(KEYS, ORDER)
-    return orders(spark, d).select("o_custkey", "o_orderkey", *[F.round(P.rolling("o_totalprice", w, n, P.default_least(n)), 4).alias(f"mean_{n}") for n in (5, 10, 20)])
+    return orders(spark, d).select("o_custkey", "o_orderkey", *[P.rolling("cents", w, n, P.default_least(n)).alias(f"mean_{n}") for n in (5, 10, 20)])
 
 
 @query(
@@ -60,10 +64,10 @@ def roll_ratio_prior(spark: SparkSession, d: str) -> DataFrame:
     return e.select("user_id", "event_id", F.round(P.rolling_ratio("bought", "value", w, 10, 5), 6).alias("share_10"), F.round(P.rolling_ratio("bought", "value", w, 50, 10), 6).alias("share_50"))
 
 
-@query("expanding_gate", f"SELECT o_custkey, o_orderkey, round({gate('avg(o_totalprice)', 'UNBOUNDED', 5)}, 4) AS mean_all, count(*) OVER ({W_SQL} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n_before FROM orders")
+@query("expanding_gate", f"SELECT o_custkey, o_orderkey, {gate(f'avg({CENTS})', 'UNBOUNDED', 5)} AS mean_all, count(*) OVER ({W_SQL} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n_before FROM orders")
 def expanding_gate(spark: SparkSession, d: str) -> DataFrame:
     w = P.ordered(KEYS, ORDER)
-    return orders(spark, d).select("o_custkey", "o_orderkey", F.round(P.rolling("o_totalprice", w, None, 5), 4).alias("mean_all"), F.count(F.lit(1)).over(P.before(w)).alias("n_before"))
+    return orders(spark, d).select("o_custkey", "o_orderkey", P.rolling("cents", w, None, 5).alias("mean_all"), F.count(F.lit(1)).over(P.before(w)).alias("n_before"))
 
 
 @query(
@@ -149,19 +153,19 @@ def unified_timeline_form(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "h2h_symmetric",
-    """WITH p AS (SELECT o_orderkey, o_orderdate, o_totalprice, least(CAST(c_nationkey AS VARCHAR), o_orderstatus) || '|' || greatest(CAST(c_nationkey AS VARCHAR), o_orderstatus) AS pair FROM orders JOIN customer ON o_custkey = c_custkey)
-    SELECT o_orderkey, pair, round(CASE WHEN count(o_totalprice) OVER f >= 3 THEN avg(o_totalprice) OVER f END, 4) AS h2h FROM p WINDOW f AS (PARTITION BY pair ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)""",
+    """WITH p AS (SELECT o_orderkey, o_orderdate, CAST(round(o_totalprice * 100) AS BIGINT) AS cents, least(CAST(c_nationkey AS VARCHAR), o_orderstatus) || '|' || greatest(CAST(c_nationkey AS VARCHAR), o_orderstatus) AS pair FROM orders JOIN customer ON o_custkey = c_custkey)
+    SELECT o_orderkey, pair, CASE WHEN count(cents) OVER f >= 3 THEN avg(cents) OVER f END AS h2h FROM p WINDOW f AS (PARTITION BY pair ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)""",
 )
 def h2h_symmetric(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
     p = orders(spark, d, "o_orderstatus").join(c, "o_custkey").withColumn("pair", P.pair_key("c_nationkey", "o_orderstatus"))
-    return p.select("o_orderkey", "pair", F.round(P.rolling("o_totalprice", P.ordered(["pair"], ORDER), 10, 3), 4).alias("h2h"))
+    return p.select("o_orderkey", "pair", P.rolling("cents", P.ordered(["pair"], ORDER), 10, 3).alias("h2h"))
 
 
-@query("season_reset_roll", f"SELECT o_custkey, o_orderkey, round({gate('avg(o_totalprice)', '5', 2, w='PARTITION BY o_custkey, year(o_orderdate) ORDER BY o_orderdate, o_orderkey')}, 4) AS mean_5 FROM orders")
+@query("season_reset_roll", f"SELECT o_custkey, o_orderkey, {gate(f'avg({CENTS})', '5', 2, w='PARTITION BY o_custkey, year(o_orderdate) ORDER BY o_orderdate, o_orderkey')} AS mean_5 FROM orders")
 def season_reset_roll(spark: SparkSession, d: str) -> DataFrame:
     w = P.ordered(["o_custkey", F.year("o_orderdate")], ORDER)
-    return orders(spark, d).select("o_custkey", "o_orderkey", F.round(P.rolling("o_totalprice", w, 5, 2), 4).alias("mean_5"))
+    return orders(spark, d).select("o_custkey", "o_orderkey", P.rolling("cents", w, 5, 2).alias("mean_5"))
 
 
 @query("trailing_inclusive", f"SELECT user_id, event_id, round(sum(value) OVER ({EVENT_W} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW), 4) AS sum_6, round(sum(value) OVER ({EVENT_W} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW), 4) AS sum_24 FROM events")
@@ -172,7 +176,7 @@ def trailing_inclusive(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "history_array",
-    f"""SELECT user_id, event_id, array_to_string(list_concat(list_transform(range(0, 4 - coalesce(len(h), 0)), x -> '-'), coalesce(h, [])), ',') AS last_4 FROM
+    f"""SELECT user_id, event_id, array_to_string(list_concat(list_transform(range(0, 4 - coalesce(len(h), 0)), lambda x: '-'), coalesce(h, [])), ',') AS last_4 FROM
     (SELECT user_id, event_id, list(event_type) OVER ({EVENT_W} ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS h FROM events)""",
 )
 def history_array(spark: SparkSession, d: str) -> DataFrame:
@@ -202,15 +206,15 @@ def gap_since_seen(spark: SparkSession, d: str) -> DataFrame:
     return P.gap_since(e, "seen", ["user_id"], ["ts", "event_id"], "gap").select("user_id", "event_id", F.col("gap").cast("long").alias("gap"))
 
 
-@query("trend_ratio", f"SELECT o_custkey, o_orderkey, round({gate('avg(o_totalprice)', '3', 3)} / {gate('avg(o_totalprice)', '10', 5)}, 6) AS trend FROM orders")
+@query("trend_ratio", f"SELECT o_custkey, o_orderkey, round({gate(f'avg({CENTS})', '3', 3)} / {gate(f'avg({CENTS})', '10', 5)}, 6) AS trend FROM orders")
 def trend_ratio(spark: SparkSession, d: str) -> DataFrame:
     w = P.ordered(KEYS, ORDER)
-    return orders(spark, d).select("o_custkey", "o_orderkey", F.round(P.rolling("o_totalprice", w, 3, 3) / P.rolling("o_totalprice", w, 10, 5), 6).alias("trend"))
+    return orders(spark, d).select("o_custkey", "o_orderkey", F.round(P.rolling("cents", w, 3, 3) / P.rolling("cents", w, 10, 5), 6).alias("trend"))
 
 
 @query(
     "prior_totals",
-    f"""SELECT o_custkey, o_orderkey, round(coalesce(sum(o_totalprice) OVER f, 0), 4) AS total_before, row_number() OVER ({W_SQL}) - 1 AS games_before,
+    f"""SELECT o_custkey, o_orderkey, CAST(coalesce(sum({CENTS}) OVER f, 0) AS BIGINT) AS total_before, row_number() OVER ({W_SQL}) - 1 AS games_before,
     round(least(1.0, count(*) OVER (PARTITION BY o_custkey, year(o_orderdate) ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) / 5.0), 6) AS progress
     FROM orders WINDOW f AS ({W_SQL} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
 )
@@ -218,7 +222,7 @@ def prior_totals(spark: SparkSession, d: str) -> DataFrame:
     w = P.ordered(KEYS, ORDER)
     season = P.before(P.ordered(["o_custkey", F.year("o_orderdate")], ORDER))
     return orders(spark, d).select(
-        "o_custkey", "o_orderkey", F.round(F.coalesce(F.sum("o_totalprice").over(P.before(w)), F.lit(0.0)), 4).alias("total_before"),
+        "o_custkey", "o_orderkey", F.coalesce(F.sum("cents").over(P.before(w)), F.lit(0)).alias("total_before"),
         (F.row_number().over(w) - 1).cast("long").alias("games_before"), F.round(F.least(F.lit(1.0), F.count(F.lit(1)).over(season) / 5.0), 6).alias("progress"),
     )
 
@@ -246,9 +250,9 @@ def ranks_within_day(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "prefix_samples",
-    """WITH n AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1), p AS (SELECT user_id, n, unnest(list_distinct(list_append(range(0, n, 5), n - 1))) AS at FROM n),
-    r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY at) AS k, count(*) OVER (PARTITION BY user_id) AS m FROM p)
-    SELECT user_id, at AS prefix FROM r WHERE k <= 31 OR k = m""",
+    """WITH n AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1), p AS (SELECT user_id, n, unnest(list_distinct(list_append(range(0, n, 5), n - 1))) AS pos FROM n),
+    r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY pos) AS k, count(*) OVER (PARTITION BY user_id) AS m FROM p)
+    SELECT user_id, pos AS prefix FROM r WHERE k <= 31 OR k = m""",
 )
 def prefix_samples(spark: SparkSession, d: str) -> DataFrame:
     n = events(spark, d).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
