@@ -88,6 +88,10 @@ def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def in_segment(keys: Column, seg: int) -> Column:
+    return F.transform(keys, lambda v: F.struct(F.lit(seg).alias("seg"), v.alias("key")))
+
+
 def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     """Edges (src, dst) between distinct fingerprints ``fp`` (with ``n`` documents each).
 
@@ -111,7 +115,7 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
         ones = F.array(*[F.lit(1 << j).cast("long") for j in range(bits)])
         key = cut(F.col("fp"), i)
         ball = F.transform(F.filter(ones, lambda b: key.bitwiseAND(b) == 0), lambda b: key.bitwiseOR(b))
-        balls.append(F.transform(F.concat(F.array(key), ball), lambda v, i=i: F.struct(F.lit(i).alias("seg"), v.alias("key"))))
+        balls.append(in_segment(F.concat(F.array(key), ball), i))
     probe = table.select("fp", *leads, F.explode(F.concat(*balls)).alias("p")).select("fp", *leads, F.col("p.seg").alias("seg"), F.col("p.key").alias("key"))
     met = probe.join(index, ["seg", "key"]).where(far("fp", "b") <= radius)
     shares = F.lit(False)
