@@ -64,7 +64,7 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = WOR
     edge[1:-1] = inside[1:] != inside[:-1]
     if len(data):
         edge[0], edge[-1] = inside[0], inside[-1]
-    cut = offsets[1:-1]
+    cut = np.unique(offsets[1:-1])  # empty rows share a bound
     cut = cut[(cut > 0) & (cut < len(data))]
     both = cut[inside[cut] & inside[cut - 1]]
     at = np.flatnonzero(edge)
