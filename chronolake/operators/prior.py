@@ -61,23 +61,21 @@ def expanding_ratio_of_means(num: Name, den: Name, w: WindowSpec, least: int, fl
 def with_ewma(df: DataFrame, x: str, keys: Sequence[str], order: Sequence[Name], halflife: float, least: int, name: str) -> DataFrame:
     """``df`` with the exponentially weighted mean of earlier values.
 
-    Closed form: sum of x * 2**(i / halflife) over sum of 2**(i / halflife). Positions run in
-    blocks, so that powers stay finite: an entity with more than ``900 * halflife`` rows keeps
-    the weights of its last two blocks, which are all that a double resolves.
+    Closed form: sum of x * 2**(i / halflife) over sum of 2**(i / halflife). Positions count
+    in blocks of ``900 * halflife``, so that powers stay finite; a block adds the sums of the
+    one before it, 2**-900 times, and what lies further back is below a double's resolution.
     """
     w = ordered(keys, order)
     block = int(900 * halflife)
-    placed = df.withColumn("__i", F.row_number().over(w))
-    inside = placed.withColumn("__b", F.floor(F.col("__i") / block)).withColumn("__w", F.pow(F.lit(2.0), (F.col("__i") - F.col("__b") * block) / F.lit(float(halflife))))
-    value = inside.withColumn("__x", F.col("__w") * F.col(x)).withColumn("__v", F.when(F.col(x).isNotNull(), F.col("__w")))
-    here = W.partitionBy(*keys, "__b").orderBy(*order)
-    # a block before the current one weighs 2**-900 less: below the resolution of a double
-    frame = before(here)
-    first = F.sum("__x").over(frame) / F.sum("__v").over(frame)
-    fallback = F.last("__tail", True).over(before(w))
-    tailed = value.withColumn("__tail", F.sum("__x").over(here.rowsBetween(W.unboundedPreceding, 0)) / F.sum("__v").over(here.rowsBetween(W.unboundedPreceding, 0)))
+    placed = df.withColumn("__i", F.row_number().over(w)).withColumn("__b", F.expr(f"__i DIV {block}"))
+    weighed = placed.withColumn("__w", F.pow(F.lit(2.0), (F.col("__i") - F.col("__b") * block) / F.lit(float(halflife))))
+    value = weighed.withColumn("__x", F.col("__w") * F.col(x)).withColumn("__v", F.when(F.col(x).isNotNull(), F.col("__w")))
+    here = before(W.partitionBy(*keys, "__b").orderBy(*order))
+    last = W.partitionBy(*keys).orderBy("__b").rangeBetween(-1, -1)
+    shift = 2.0 ** (-block / halflife)
+    total = lambda c: F.coalesce(F.sum(c).over(here), F.lit(0.0)) + F.coalesce(F.sum(c).over(last), F.lit(0.0)) * shift
     count = F.count(F.col(x)).over(before(w))
-    return tailed.withColumn(name, F.when(count >= least, F.coalesce(first, fallback))).drop("__i", "__b", "__w", "__x", "__v", "__tail")
+    return value.withColumn(name, F.when(count >= least, F.try_divide(total("__x"), total("__v")))).drop("__i", "__b", "__w", "__x", "__v")
 
 
 def streak(df: DataFrame, won: str, keys: Sequence[str], order: Sequence[Name], name: str) -> DataFrame:
