@@ -147,8 +147,8 @@ def doc_key() -> Column:
 
 def postings(docs: DataFrame, terms: list[str]) -> DataFrame:
     """(key, trigram): which documents hold which of ``terms``."""
-    low = F.lower("text")
-    held = F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(low, t))
+    # the one-element array binds the lower-cased text, which is made once and not for each term
+    held = F.transform(F.array(F.lower("text")), lambda low: F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(low, t)))[0]
     return docs.select(doc_key().alias("key"), F.explode(held).alias("trigram"))
 
 
