@@ -8,7 +8,7 @@ Lines with equal sets are copies; among distinct sets the pairs come from a join
   corpus, ties by hash; any fixed order keeps the join exact, a rare-first one keeps it small;
 * the prefix filter: two sets that reach the threshold share a word among their first
   ``n - ceil(threshold * n) + 1`` words in that order;
-* length and positional filters on each meeting of two prefixes;
+* length and positional filters on each meeting of two prefixes, and one on parity signatures;
 * verification of the whole sets.
 
 Words that one set alone has in its prefix are left out after a count. A word in more than
@@ -123,10 +123,19 @@ def prefix_length(n: np.ndarray, threshold: float) -> np.ndarray:
     return n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
 
 
+def signatures(words: np.ndarray, line: np.ndarray, n_lines: int) -> np.ndarray:
+    """Parities of the words' bits of each line: two signatures differ in no more bits than the sets differ in words."""
+    out = np.zeros(n_lines, np.uint64)
+    if len(words):
+        some, first = np.unique(line, return_index=True)
+        out[some] = np.bitwise_xor.reduceat(np.uint64(1) << (mix(words ^ np.uint64(0x5163)) & np.uint64(63)), first)
+    return out.view(np.int64)
+
+
 def prefix_postings(docs: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
-    """(word, id, n, at, doc_id, th, line): the prefixes of all distinct sets of each chunk, with a place of the set."""
+    """(word, id, n, at, sig, doc_id, th, line): the prefixes of all distinct sets of each chunk, with a place of the set."""
     slim = keyed(docs)
-    schema = slim.select("doc_id", "th").schema.add("line", "integer").add("id", "long").add("word", "integer").add("n", "integer").add("at", "integer")
+    schema = slim.select("doc_id", "th").schema.add("line", "integer").add("id", "long").add("word", "integer").add("n", "integer").add("at", "integer").add("sig", "long")
     shared = docs.sparkSession.sparkContext.broadcast(counts)  # 4 MB, whatever the input
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,15 +151,17 @@ def prefix_postings(docs: DataFrame, counts: np.ndarray, threshold: float) -> Da
                 use &= size >= math.ceil(1 / (1 - threshold) - 1e-9) - 1
                 pick = use[line]
                 words, line = words[pick], line[pick]
+                whole = words, line
                 order = np.lexsort((words, rarity[(words & np.uint64(SLOTS - 1)).astype(np.int64)], line))
                 words, line = words[order], line[order]
                 start = np.searchsorted(line, line)
                 at = np.arange(len(line)) - start
                 short = at < prefix_length(size[line], threshold)
                 words, line, at = words[short], line[short], at[short]
+                sig = signatures(*whole, len(rows))
                 of = pa.array(rows[line])
                 code = (words >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(1).take(of), pa.array(number[line].astype(np.int32)), pa.array(ids[line]), pa.array(code), pa.array(size[line].astype(np.int32)), pa.array(at.astype(np.int32))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(1).take(of), pa.array(number[line].astype(np.int32)), pa.array(ids[line]), pa.array(code), pa.array(size[line].astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(sig[line])], names=schema.names)
 
     return slim.mapInArrow(each, schema)
 
@@ -197,10 +208,11 @@ def needed_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def passes(threshold: float, a: str, b: str) -> Column:
-    """Length and positional filter of a meeting of two prefixes."""
+    """Length, positional and signature filters of a meeting of two prefixes; none drops a pair that reaches the threshold."""
     na, nb, ia, ib = (F.col(x) for x in (f"{a}_n", f"{b}_n", f"{a}_at", f"{b}_at"))
     need = F.ceil((na + nb) * (threshold / (1 + threshold)) - 1e-9)
-    return (F.least(na, nb) >= F.greatest(na, nb) * threshold - 1e-9) & (1 + F.least(na - ia - 1, nb - ib - 1) >= need)
+    apart = F.bit_count(F.col(f"{a}_sig").bitwiseXOR(F.col(f"{b}_sig")))
+    return (F.least(na, nb) >= F.greatest(na, nb) * threshold - 1e-9) & (1 + F.least(na - ia - 1, nb - ib - 1) >= need) & (apart <= na + nb - 2 * need)
 
 
 def verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
@@ -227,15 +239,15 @@ def near_repeats(docs: DataFrame, first: DataFrame, threshold: float = 0.8) -> D
     """(id): the distinct sets that repeat an earlier set without being equal to it. ``first``: (id, first), the place of each set."""
     posts = prefix_postings(docs, word_counts(docs), threshold)
     by_word = W.partitionBy("word")
-    counted = posts.select("word", "id", "n", "at", F.struct("doc_id", "th", "line").alias("place"))
-    counted = counted.withColumn("c", F.count(F.lit(1)).over(by_word)).where("c > 1").withColumn("lead", F.min(F.struct("place", "id", "n", "at")).over(by_word))
+    counted = posts.select("word", "id", "n", "at", "sig", F.struct("doc_id", "th", "line").alias("place"))
+    counted = counted.withColumn("c", F.count(F.lit(1)).over(by_word)).where("c > 1").withColumn("lead", F.when(F.col("c") > HEAVY, F.min(F.struct("place", "id", "n", "at", "sig")).over(by_word)))
     posts = materialize(counted.drop("place"), "posts")
-    side = lambda df, p: df.select("word", *[F.col(x).alias(f"{p}_{x}") for x in ("id", "n", "at")])
+    side = lambda df, p: df.select("word", *[F.col(x).alias(f"{p}_{x}") for x in ("id", "n", "at", "sig")])
     meet = lambda df: df.where((F.col("a_id") != F.col("b_id")) & passes(threshold, "a", "b")).select(F.least("a_id", "b_id").alias("early"), F.greatest("a_id", "b_id").alias("late"))
     light, heavy = posts.where(f"c <= {HEAVY}"), posts.where(f"c > {HEAVY}")
     met = side(light, "a").join(side(light, "b"), "word").where("a_id < b_id")
     # the lead of a word has the first place of all sets with it, so the others are the later ones
-    stars = heavy.select(*[F.col(f"lead.{x}").alias(f"a_{x}") for x in ("id", "n", "at")], *[F.col(x).alias(f"b_{x}") for x in ("id", "n", "at")])
+    stars = heavy.select(*[F.col(f"lead.{x}").alias(f"a_{x}") for x in ("id", "n", "at", "sig")], *[F.col(x).alias(f"b_{x}") for x in ("id", "n", "at", "sig")])
     done = materialize(later(verified(docs, meet(met).union(meet(stars)), threshold), first), "done")
     rest = heavy.join(done, "id", "left_anti")
     more = meet(side(heavy, "a").join(side(rest, "b"), "word"))
