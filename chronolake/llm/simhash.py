@@ -149,14 +149,17 @@ def keep_one(docs: DataFrame, k: int = 4, radius: int = 4) -> DataFrame:
     Of several rows with that id the smallest text hash decides; of rows equal in both one
     stays. The choice is made on ids and hashes, so texts are shuffled once.
     """
+    prints = materialize(fingerprints(docs.withColumn("__h", F.xxhash64("text")), k, keep=["doc_id", "__h"]), "prints")
+    return one_of_each(docs, prints.join(groups(prints, "doc_id", radius).select("fp", "group"), "fp"))
+
+
+def one_of_each(docs: DataFrame, whole: DataFrame) -> DataFrame:
+    """``docs`` with the row of each group that ``keep_one`` names; ``whole`` has doc_id, __h (hash of the text) and group of every row."""
     cols = docs.columns
-    mark = F.xxhash64("text")
-    prints = materialize(fingerprints(docs.withColumn("__h", mark), k, keep=["doc_id", "__h"]), "prints")
-    whole = prints.join(groups(prints, "doc_id", radius).select("fp", "group"), "fp")
     chosen = whole.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__h")).alias("c"))
     chosen = chosen.select(F.col("c.doc_id").alias("__id"), F.col("c.__h").alias("__c"))
-    hashed = docs.withColumn("__h", mark)
+    hashed = docs.withColumn("__h", F.xxhash64("text"))
     out = hashed.join(chosen, hashed["doc_id"].eqNullSafe(chosen["__id"]) & (hashed["__h"] == chosen["__c"]), "left_semi")
-    if prints.groupBy("doc_id", "__h").count().where("count > 1").limit(1).count():
+    if whole.groupBy("doc_id", "__h").count().where("count > 1").limit(1).count():
         out = out.dropDuplicates(["doc_id", "__h"])
     return out.select(*cols)

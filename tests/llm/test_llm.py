@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from chronolake.llm import decontam, fingerprint, langid, licenses, linededup, mixing, pii, queries, secrets, sharding, simhash, textbytes
+from chronolake.llm import decontam, fingerprint, langid, licenses, linededup, mixing, neardup, pii, queries, secrets, sharding, simhash, textbytes
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"word{i} of the long text." for i in range(6000))
@@ -381,6 +381,48 @@ def test_one_of_each_group_stays(spark, odd):
     assert len(kept) <= len(groups)
 
 
+def likeness_of_shingles(a, b, k=5):
+    def shingles(t):
+        w = re.findall(r"[a-z0-9\x80-\U0010ffff]+", t.lower())
+        return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
+
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("heavy", [False, True])
+def test_pipeline_groups_by_shingle_likeness(spark, heavy):
+    rng = np.random.default_rng(11)
+    texts = []
+    for _ in range(2 if heavy else 25):
+        base = [f"w{i}" for i in rng.integers(0, 5000, 150)]
+        for edits in [0, 0, *([3] * 40 if heavy else [1, 2, 3, 4, 5])]:
+            words = list(base)
+            for at in rng.choice(150, edits, replace=False):
+                words[at] = f"x{rng.integers(0, 1 << 30)}"
+            texts.append(" ".join(words))
+    texts += ["one two", "One, two!", "", "  ", "--", "??", "--"]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    likes = []
+    for i in range(len(texts) - 5):
+        for j in range(i):
+            like = likeness_of_shingles(texts[i], texts[j])
+            if like >= 0.8:
+                likes.append(like)
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    assert heavy or sum(0.8 <= x < 0.95 for x in likes) > 50
+    want = {find(i) for i in range(len(texts) - 5)} | {len(texts) - 5, len(texts) - 3, len(texts) - 2}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()} == want
+
+
 # ---- words and the pipeline
 
 
