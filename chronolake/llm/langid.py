@@ -7,7 +7,7 @@ a bounded sample of labelled rows; prediction reads every whole text.
 
 The sample: documents whose crc32 of the id, as text, leaves a remainder other than 1 on
 division by 3, with a language, and at most ``max_chars`` long; from each language about
-``per_lang`` rows, ``max_rows`` in all, by a hash of the id. A part of it is kept from the
+``per_lang`` rows, or an equal part of ``max_rows`` if those are too many, by a hash of id and text. A part of it is kept from the
 descent to calibrate: the temperature that gives the smallest loss, and the score below
 which a prediction is rejected (a quantile of the scores of right predictions).
 
@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from chronolake.llm.textbytes import chunks
 
@@ -150,17 +150,32 @@ def held_out(docs: DataFrame) -> DataFrame:
     return docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False)))
 
 
+def quota(counts: list[int], per_lang: int, max_rows: int) -> int:
+    """Rows of each language in the sample: what small ones leave over goes to the others; at most ``per_lang``."""
+    left, most = max_rows, per_lang
+    for i, n in enumerate(sorted(counts)):
+        most = left // (len(counts) - i)
+        if n > most:
+            break
+        left -= n
+        most = per_lang
+    return max(1, min(most, per_lang))
+
+
 def train(docs: DataFrame, per_lang: int = 500, max_rows: int = 4000, max_chars: int = 20_000, max_langs: int = 500) -> Model:
     """Fits the model on a bounded sample of the rows that may be learned from."""
     rows = held_out(docs.select("doc_id", "text", "lang")).where("NOT held_out AND doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
     rows = rows.where(F.length("text") <= max_chars)
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    most = quota([n for _, n in counts], int(1.2 * per_lang), max_rows)
     mark = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000_007))
     share = F.lit(0.0)
     for lang, n in counts:
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.2 * per_lang / n))).otherwise(share)
+        # six deviations more than needed, so that a large language fills its places
+        share = F.when(F.col("lang") == lang, F.lit(min(1.0, (most + 6 * most**0.5 + 6) / n))).otherwise(share)
     chosen = rows.withColumn("mark", mark).where(F.col("mark") < share * 1_000_000_007)
-    sample = chosen.orderBy("mark", "doc_id").limit(max_rows).select("text", "lang").collect()
+    chosen = chosen.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("mark", "doc_id"))).where(F.col("place") <= most)
+    sample = chosen.orderBy("place", "lang").limit(max_rows).select("text", "lang").collect()
     return fit([r[0] for r in sample], [r[1] for r in sample])
 
 

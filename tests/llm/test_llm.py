@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 
 import duckdb
@@ -236,6 +237,15 @@ def test_language_accuracy_and_rejection(spark):
     assert none.lang_pred == "und"
 
 
+def test_rare_languages_are_sampled(spark, monkeypatch):
+    sizes = {f"l{i}": 2000 for i in range(7)} | {"rare": 60}
+    rows = [(i, f"{lang} text {i}", lang) for i, lang in enumerate(x for x, n in sizes.items() for _ in range(n))]
+    monkeypatch.setattr(langid, "fit", lambda texts, labels: Counter(labels))
+    free = sum(lang == "rare" and zlib.crc32(str(i).encode()) % 3 != 1 for i, _, lang in rows)
+    got = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_rows=700)
+    assert got["rare"] == free and {got[f"l{i}"] for i in range(7)} == {(700 - free) // 7}
+
+
 # ---- decontamination
 
 
