@@ -1,8 +1,8 @@
 """License scans by ordered signature rules.
 
 Hundreds of hand-written regexes over the words of a text (joined by single blanks), each
-gated by a keyword that must occur before its regex runs, behind one cheap gate for the
-whole text. A detection is an interval of the text with the rule's priority. It is
+gated by a keyword that must occur before its regex runs, behind one gate for the whole
+text, which is derived from the regexes and looks at the joined words. A detection is an interval of the text with the rule's priority. It is
 suppressed if its interval is contained in that of another detection of higher priority,
 or of the same priority and greater length, or equal to that of an earlier rule; what is
 left gives the labels. The base phrases are found apart and never suppressed.
@@ -13,15 +13,13 @@ text: no words. Repeated detections of a label count once. Empty table: no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from re import _parser
+
+from pyspark.sql import DataFrame, functions as F
 
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: A text without any of these holds no signature; the last needs a closer look.
-GATE = ("licen", "copyright", "copyleft", "spdx", "gpl", "redistribut", "warrant", "creative", "public domain", "all rights", "permission is hereby", "permission to use", "unlicense", "beerware", "wtfpl", "dedicat", "cc")
-CC_GATE = r"cc0|cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+(by|zero|0)"
-
 #: Signature rules: label; priority (higher wins); keyword; regexes, split at " ;; ". Fixed values, written by hand.
 SIGNATURES = r"""
 mit; 90; mit; under the mit license ;; licensed under mit ;; mit license ;; spdx license identifier mit\b
@@ -171,12 +169,26 @@ no-warranty; 6; warrant; without (any )?warrant(y|ies) of any kind ;; without ev
 """
 
 
+def needed(regex: str) -> str:
+    """The longest run of characters that every match of ``regex`` holds."""
+    runs = [""]
+    for op, arg in _parser.parse(regex):
+        if str(op) == "LITERAL":
+            runs[-1] += chr(arg)
+        elif str(op) != "AT":  # whatever has a width and may differ ends a run
+            runs.append("")
+    return max(runs, key=len)
+
+
 def rules() -> list[tuple[str, int, str, str]]:
-    """(label, priority, keyword, regex) in order; regexes begin and end at word bounds and take in a leading grant."""
+    """(label, priority, keyword, regex) in order; regexes begin and end at word bounds and take in a leading grant.
+
+    The keyword is the one of the line where the regex cannot match without it, else the longest run it needs.
+    """
     out = []
     for line in SIGNATURES.strip().splitlines():
         label, priority, keyword, regexes = line.split("; ", 3)
-        out += [(label, int(priority), keyword, rf"\b(?:(?:this work is )?licen[cs]ed under (?:the |a |an )?)?(?:{x})\b") for x in regexes.split(" ;; ")]
+        out += [(label, int(priority), keyword if keyword in needed(x) else needed(x), rf"\b(?:(?:this work is )?licen[cs]ed under (?:the |a |an )?)?(?:{x})\b") for x in regexes.split(" ;; ")]
     return out
 
 
@@ -184,13 +196,11 @@ def quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def gate(text: Column) -> Column:
-    """Whether a text may hold a license at all."""
-    low = F.lower(text)
-    some = F.lit(False)
-    for word in GATE[:-1]:
-        some = some | F.contains(low, F.lit(word))
-    return some | (F.contains(low, F.lit("cc")) & low.rlike(CC_GATE))
+def gate(norm: str) -> str:
+    """SQL of whether the joined words hold what some rule needs, or a base phrase."""
+    words = {needed(x) for line in SIGNATURES.strip().splitlines() for x in line.split("; ", 3)[3].split(" ;; ")} | {p for p, _ in BASE}
+    least = sorted(w for w in words if not any(v in w and v != w for v in words))
+    return "(" + " OR ".join(f"contains({norm}, {quoted(w)})" for w in least) + ")"
 
 
 def phrase_places(norm: str, phrase: str) -> str:
@@ -236,8 +246,8 @@ def scan(docs: DataFrame) -> DataFrame:
     slim = docs.select("doc_id", "text").select(
         "doc_id",
         F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("n_words"),
-        F.when(gate(F.col("text")), F.concat(F.lit(" "), F.trim(F.regexp_replace(folded, GAPS, " ")), F.lit(" "))).alias("norm"),
-    )
+        F.concat(F.lit(" "), F.trim(F.regexp_replace(folded, GAPS, " ")), F.lit(" ")).alias("norm"),
+    ).withColumn("norm", F.expr(f"get(filter(array(norm), n -> {gate('n')}), 0)"))
     norm = "coalesce(norm, '')"
     placed = slim.select("doc_id", "n_words", "norm", *[F.expr(phrase_places(norm, p)).alias(f"p{i}") for i, (p, _) in enumerate(BASE)])
     kind = "array<struct<start:int,end:int,priority:int,rule:int,label:string>>"

@@ -101,6 +101,35 @@ def test_license_base_and_suppression(spark):
     assert len(licenses.rules()) > 200 and all(re.compile(r[3]) for r in licenses.rules())
 
 
+def test_every_license_rule_passes_the_gates(spark):
+    def example(parsed):
+        out = ""
+        for op, arg in parsed:
+            op = str(op)
+            if op == "LITERAL":
+                out += chr(arg)
+            elif op == "IN":
+                out += chr(arg[0][1] if str(arg[0][0]) == "LITERAL" else arg[0][1][0]) if str(arg[0][0]) != "CATEGORY" else "a"
+            elif op == "ANY":
+                out += "x"
+            elif op.endswith("_REPEAT"):
+                out += example(arg[2]) * arg[0]
+            elif op == "SUBPATTERN":
+                out += example(arg[3])
+            elif op == "BRANCH":
+                out += example(arg[1][0])
+        return out
+
+    found = licenses.rules()
+    texts = [example(re._parser.parse(regex)) for _, _, _, regex in found]
+    assert all(re.search(r[3], f" {t} ") and r[2] in t for r, t in zip(found, texts))
+    rows = [(i, t.upper().replace(" ", "\n- ")) for i, t in enumerate(texts)]
+    rows += [(-1, "BSD 3-Clause"), (-2, "MPL-2.0"), (-3, "It is in the public\n  domain"), (-4, "All  rights reserved"), (-5, "MIT No Attribution")]
+    got = {r.doc_id: r.labels.split(",") for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(any(got[i]) for i in range(len(texts)))
+    assert [got[i] for i in range(-1, -6, -1)] == [["bsd-3"], ["mpl-2"], ["public-domain"], ["proprietary"], ["mit-0"]]
+
+
 # ---- secrets
 
 
