@@ -55,9 +55,9 @@ def baseruns_shape(spark: SparkSession, d: str) -> DataFrame:
 
 
 def elo_matches(spark: SparkSession, d: str) -> DataFrame:
-    """Monthly contests of nations in each region pairing: few enough for a fold a season."""
+    """Contests of two nations, home and away, with the margins of a month in one: few enough for a fold a season."""
     g = contests(spark, d).groupBy("season", F.date_trunc("month", "l_shipdate").cast("date").alias("month"), "home", "away").agg(F.sum("margin").alias("margin"))
-    return g.where("home < away")
+    return g.where("home <> away")
 
 
 @query("elo_fold")

@@ -2,9 +2,11 @@
 
 import json
 import math
+import os
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F, types as T
 
 from chronolake.functions import physics as X, scalar as S
@@ -132,3 +134,13 @@ def test_heartbeat_publishes_unchanged_state(spark):
         L.keyed_state = real
     out, state = taken["step"]((1,), rows, None)
     assert out.v.tolist() == ["a", "a", "b"] and state[0] == "b"
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001"), reason="no tables here")
+def test_elo_fold_plays_both_directions(spark):
+    from chronolake.plans import graphs
+
+    d = "/root/testdata/sf0.001"
+    want = {(r.season, r.m, r.home, r.away) for r in graphs.contests(spark, d).where("home <> away").selectExpr("season", "month(l_shipdate) AS m", "home", "away").distinct().collect()}
+    got = [(r.season, r.month.month, r.home, r.away) for r in graphs.elo_fold(spark, d).collect()]
+    assert len(got) == len(want) and set(got) == want and any(h > a for _, _, h, a in want)
