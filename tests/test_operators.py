@@ -144,3 +144,20 @@ def test_elo_fold_plays_both_directions(spark):
     want = {(r.season, r.m, r.home, r.away) for r in graphs.contests(spark, d).where("home <> away").selectExpr("season", "month(l_shipdate) AS m", "home", "away").distinct().collect()}
     got = [(r.season, r.month.month, r.home, r.away) for r in graphs.elo_fold(spark, d).collect()]
     assert len(got) == len(want) and set(got) == want and any(h > a for _, _, h, a in want)
+
+
+def test_schedule_components_of_whole_tables(spark, tmp_path):
+    from chronolake.plans import registry
+
+    orders, lines = [(1, 1), (2, 2), (3, 2), (4, 7), (5, 9)], [(1, 10), (2, 10), (3, 11), (4, 11), (5, 50), (5, 51)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    buyer, want = dict(orders), {}
+    edges = [(buyer[k], -1 - p) for k, p in lines]
+    for node in {x for e in edges for x in e}:
+        seen = {node}
+        while more := {y for e in edges if set(e) & seen for y in e} - seen:
+            seen |= more
+        want[node] = min(seen)
+    got = {r.node: r.component for r in registry.QUERIES["schedule_components_all"](spark, str(tmp_path)).collect()}
+    assert got == want
