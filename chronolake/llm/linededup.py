@@ -1,60 +1,80 @@
 """Line dedup by an exact set-similarity join.
 
 A line is the set of its words (A-Z folded). A line goes if an earlier line, in the order of
-document id, text hash and line number, has a Jaccard likeness of at least ``threshold``.
-Lines with equal sets are copies; among distinct sets the pairs come from a join with
+document id (null first), text hash and line number, has a Jaccard likeness of at least
+``threshold``. Lines with equal sets are copies; among distinct sets the pairs come from a
+join with
 
 * an order of words by rarity: counts of ``SLOTS`` hashed slots over all lines of the
-  corpus, ties by hash; any fixed order keeps the join exact, a rare-first one keeps it small;
+  corpus, in eighths of a power of two, ties by hash; any fixed order keeps the join exact,
+  a rare-first one keeps it small;
 * the prefix filter: two sets that reach the threshold share a word among their first
   ``n - ceil(threshold * n) + 1`` words in that order;
 * length and positional filters on each meeting of two prefixes, and one on parity signatures;
 * verification of the whole sets.
 
-Words that one set alone has in its prefix are left out after a count. A word in more than
-``HEAVY`` prefixes is first met with one set only, its earliest; sets that this proves to be
-repeats need no further partner, and just the others meet all. So a group of near copies
-costs a star and not all its pairs, and no match is lost.
+Postings travel as packed blocks, one a bucket of words and flush, so that the shuffle moves
+few rows; the number of buckets follows the number of words. A task reads its bucket in
+blocks and keeps at most ``HEAVY`` postings of a word: a word with more is heavy, and met
+at once with one early set only; sets that this proves to be repeats need no further
+partner, and just the others meet all sets with that word and a size that fits. So a group
+of near copies costs a star and not all its pairs, and no match is lost.
 
-Lines without words stay. Null texts have no lines and stay null. Rows equal in id and text
-are one document: both keep the same lines. Empty table: no rows.
+Words are 42-bit hashes and sets 64-bit hashes. Lines without words stay. Null texts have no
+lines and stay null. Of rows equal in id and text one is the earlier: the others lose every
+line with words. Empty table: no rows.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
+from pyspark.sql.types import NumericType, StructType
 
 from chronolake.llm.textbytes import LOWER, chunks, mix, word_bounds, word_hashes
-from chronolake.runtime import materialize
+from chronolake.runtime import drop_materialized, materialize, ship
 
 SLOTS = 1 << 20
-BLOCK = 1 << 14
+BLOCK = 1 << 16  # slots a row of counts
+CODE = 42  # bits of a word
+LINES = 1 << (64 - CODE)  # lines that fit beside a word in 64 bits
+RANKED = 1 << (56 - CODE)  # lines that fit beside a word and its rarity
 HEAVY = 64
+FLUSH = 1 << 19  # postings that a task gathers before it packs them
+BUCKET = 1 << 19  # postings a bucket, about
 BITS = 1 << 26  # of the filter for the sets that verification needs
+BROADCAST = 400_000  # removed lines (with their documents) that are broadcast, some 30 MB; more are joined by a shuffle
+POSTING = (("w", "<u4"), ("n", "<u4"), ("at", "<u4"), ("d", "<f4"), ("id", "<i8"), ("sig", "<u8"))
+WORDY = "[0-9A-Za-z\\\\x{80}-\\\\x{10FFFF}]"
 
 
 def line_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words of every line of a chunk: word hashes, their lines (sorted); row and number of each line."""
-    breaks = np.flatnonzero(data == 10)
-    row_of_break = np.searchsorted(offsets, breaks, "right") - 1
-    lines = np.bincount(row_of_break, minlength=len(offsets) - 1) + 1
+    """Distinct words of every line of a chunk: codes and their lines (both ascending); row and number of each line."""
+    at_break = data == 10
+    breaks = np.flatnonzero(at_break)
+    lines = np.bincount(np.searchsorted(offsets, breaks, "right") - 1, minlength=len(offsets) - 1) + 1
     first = np.cumsum(lines) - lines
     rows = np.repeat(np.arange(len(lines)), lines)
     number = np.arange(len(rows)) - first[rows]
     folded = LOWER[data]
     starts, ends, word_row = word_bounds(folded, offsets)
-    line = np.searchsorted(breaks, starts) + word_row
-    words = word_hashes(folded, starts, ends)
-    order = np.lexsort((words, line))
-    words, line = words[order], line[order]
-    new = np.ones(len(words), bool)
-    new[1:] = (words[1:] != words[:-1]) | (line[1:] != line[:-1])
-    return words[new], line[new], rows, number
+    line = np.cumsum(at_break, dtype=np.int32)[starts] + word_row
+    code = word_hashes(folded, starts, ends) >> np.uint64(64 - CODE)
+    if len(rows) <= LINES:
+        key = (line.astype(np.uint64) << np.uint64(CODE)) | code
+        key.sort()
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
+        return key & np.uint64((1 << CODE) - 1), (key >> np.uint64(CODE)).astype(np.int64), rows, number
+    order = np.lexsort((code, line))
+    code, line = code[order], line[order]
+    new = np.ones(len(code), bool)
+    new[1:] = (code[1:] != code[:-1]) | (line[1:] != line[:-1])
+    return code[new], line[new].astype(np.int64), rows, number
 
 
 def set_ids(words: np.ndarray, line: np.ndarray, n_lines: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,60 +85,57 @@ def set_ids(words: np.ndarray, line: np.ndarray, n_lines: int) -> tuple[np.ndarr
     return mix((total[end] - total[end - size]) ^ mix(size.astype(np.uint64))).view(np.int64), size
 
 
-def word_counts(docs: DataFrame) -> np.ndarray:
-    """Counts of the hashed slots of all words of all lines."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SLOTS, np.int64)
-        for batch in batches:
-            for _, data, offsets in chunks(batch):
-                words, _, _, _ = line_sets(data, offsets)
-                counts += np.bincount((words & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
-        if counts.any():
-            yield from blocks(counts)
-
-    def blocks(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        wide = counts.astype("<i8")
-        yield pa.RecordBatch.from_arrays([pa.array(range(SLOTS // BLOCK), pa.int32()), pa.array([wide[i : i + BLOCK].tobytes() for i in range(0, SLOTS, BLOCK)], pa.binary())], names=["block", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for b, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums[b] = sums.get(b, 0) + np.frombuffer(c, "<i8")
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.astype("<i8").tobytes() for x in sums.values()], pa.binary())], names=["block", "counts"])
-
-    schema = "block int, counts binary"
-    parts = docs.select("text").mapInArrow(each, schema)
-    rows = parts.repartition(16, "block").mapInArrow(add, schema).collect()  # SLOTS counts, whatever the input
-    out = np.zeros(SLOTS, np.int64)
-    for block, counts in rows:
-        out[block * BLOCK : (block + 1) * BLOCK] += np.frombuffer(counts, "<i8")
-    return np.minimum(out, np.iinfo(np.uint32).max).astype(np.uint32)
+def slot(words: np.ndarray) -> np.ndarray:
+    return (words & np.uint64(SLOTS - 1)).astype(np.int64)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
 
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, line, id, n) of every line with words."""
+def scanned(docs: DataFrame) -> DataFrame:
+    """One pass over the texts: (doc_id, th, line, id) of every line with words, and rows (block, counts) of word counts a task."""
     slim = keyed(docs)
-    schema = slim.select("doc_id", "th").schema.add("line", "integer").add("id", "long").add("n", "integer")
+    schema = StructType().add("doc_id", docs.schema["doc_id"].dataType).add("th", "long").add("line", "integer").add("id", "long").add("block", "integer").add("counts", "binary")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, of = np.zeros(SLOTS, np.int64), None
         for batch in batches:
+            of = batch.schema.field(0).type
             for part, data, offsets in chunks(batch):
                 words, line, rows, number = line_sets(data, offsets)
+                if not len(words):
+                    continue
+                total += np.bincount(slot(words), minlength=SLOTS)
                 ids, size = set_ids(words, line, len(rows))
                 some = np.flatnonzero(size)
-                at = pa.array(rows[some])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(number[some].astype(np.int32)), pa.array(ids[some]), pa.array(size[some].astype(np.int32))], names=schema.names)
+                at, none = pa.array(rows[some]), len(some)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(number[some].astype(np.int32)), pa.array(ids[some]), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())], names=schema.names)
+        if total.any():
+            parts = [(b // BLOCK, zlib.compress(total[b : b + BLOCK].astype("<i8").tobytes(), 1)) for b in range(0, SLOTS, BLOCK)]
+            n = len(parts)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, of), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.array([b for b, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=schema.names)
 
     return slim.mapInArrow(each, schema)
 
 
+def rarity(counts: DataFrame) -> tuple[np.ndarray, int]:
+    """A byte for each slot, ascending with its count over the corpus (up to 8: one line or none), and the sum of all counts."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for b, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sums[b] = sums.get(b, 0) + np.frombuffer(zlib.decompress(c), "<i8")
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.astype("<i8").tobytes() for x in sums.values()], pa.binary())], names=["block", "counts"])
+
+    out = np.zeros(SLOTS, np.int64)
+    for block, part in counts.select("block", "counts").repartition(SLOTS // BLOCK, "block").mapInArrow(add, "block int, counts binary").collect():  # SLOTS counts, whatever the input
+        out[block * BLOCK : (block + 1) * BLOCK] += np.frombuffer(part, "<i8")
+    return np.minimum(255, 8 * np.log2(out + 1.0)).astype(np.uint8), int(out.sum())
+
+
 def prefix_length(n: np.ndarray, threshold: float) -> np.ndarray:
     return n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
 
@@ -127,43 +144,169 @@ def signatures(words: np.ndarray, line: np.ndarray, n_lines: int) -> np.ndarray:
     """Parities of the words' bits of each line: two signatures differ in no more bits than the sets differ in words."""
     out = np.zeros(n_lines, np.uint64)
     if len(words):
-        some, first = np.unique(line, return_index=True)
-        out[some] = np.bitwise_xor.reduceat(np.uint64(1) << (mix(words ^ np.uint64(0x5163)) & np.uint64(63)), first)
-    return out.view(np.int64)
-
-
-def prefix_postings(docs: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
-    """(word, id, n, at, sig, doc_id, th, line): the prefixes of all distinct sets of each chunk, with a place of the set."""
+        first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+        out[line[first]] = np.bitwise_xor.reduceat(np.uint64(1) << (mix(words ^ np.uint64(0x5163)) & np.uint64(63)), first)
+    return out
+
+
+def rare_first(words: np.ndarray, line: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words ordered by line, rarity and code; words and lines."""
+    out = []
+    for base in range(0, int(line[-1]) + 1 if len(line) else 0, RANKED):
+        a, b = np.searchsorted(line, [base, base + RANKED])
+        w = words[a:b]
+        key = (line[a:b] - base).astype(np.uint64) << np.uint64(CODE + 8)
+        key |= (rank[slot(w)].astype(np.uint64) << np.uint64(CODE)) | w
+        key.sort()
+        out.append((key & np.uint64((1 << CODE) - 1), (key >> np.uint64(CODE + 8)).astype(np.int64) + base))
+    if not out:
+        return words, line
+    return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+
+
+def packed(found: dict[str, np.ndarray], buckets: int) -> Iterator[tuple[int, bytes]]:
+    """The postings of each bucket as one block: a column after the other, ordered by word."""
+    bucket = found["w"] % np.uint32(buckets)
+    order = np.lexsort((found["w"], bucket))
+    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+    cols = [found[name].astype(kind)[order] for name, kind in POSTING]
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(order)]):
+        yield int(bucket[order[a]]), b"".join(c[a:b].tobytes() for c in cols)
+
+
+def unpacked(block: bytes) -> list[np.ndarray]:
+    n = len(block) // sum(np.dtype(kind).itemsize for _, kind in POSTING)
+    out, at = [], 0
+    for _, kind in POSTING:
+        out.append(np.frombuffer(block, kind, n, at))
+        at += out[-1].nbytes
+    return out
+
+
+def prefix_postings(docs: DataFrame, rank: np.ndarray, buckets: int, threshold: float) -> DataFrame:
+    """(bucket, block): packed postings of the prefixes of all distinct sets of each chunk."""
     slim = keyed(docs)
-    schema = slim.select("doc_id", "th").schema.add("line", "integer").add("id", "long").add("word", "integer").add("n", "integer").add("at", "integer").add("sig", "long")
-    shared = docs.sparkSession.sparkContext.broadcast(counts)  # 4 MB, whatever the input
+    numeric = isinstance(docs.schema["doc_id"].dataType, NumericType)
+    shared = docs.sparkSession.sparkContext.broadcast(rank)  # 1 MB, whatever the input
+
+    def of_chunk(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, rank: np.ndarray) -> dict[str, np.ndarray]:
+        words, line, rows, _ = line_sets(data, offsets)
+        ids, size = set_ids(words, line, len(rows))
+        # one line of the chunk stands for its set; sets too small to have a partner but themselves are out
+        _, lead = np.unique(ids, return_index=True)
+        use = np.zeros(len(rows), bool)
+        use[lead] = True
+        use &= size >= math.ceil(1 / (1 - threshold) - 1e-9) - 1
+        pick = use[line]
+        words, line = words[pick], line[pick]
+        sig = signatures(words, line, len(rows))
+        words, line = rare_first(words, line, rank)
+        start = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(line) else np.zeros(0, np.int64)
+        at = np.arange(len(line)) - np.repeat(start, np.diff(np.append(start, len(line))))
+        # a slot with one line holds no shared word
+        short = (at < prefix_length(size[line], threshold)) & (rank[slot(words)] > 8)
+        words, line, at = words[short], line[short], at[short]
+        order = np.zeros(part.num_rows, np.float32)
+        if numeric:
+            order = part.column(0).cast(pa.float64(), safe=False).fill_null(-np.inf).to_numpy(zero_copy_only=False).astype(np.float32)
+        return {"w": (words & np.uint64(0xFFFFFFFF)).astype(np.uint32), "n": size[line], "at": at, "d": order[rows[line]], "id": ids[line], "sig": sig[line]}
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rarity = shared.value
+        waiting, n = [], 0
+
+        def flush() -> pa.RecordBatch:
+            rows = list(packed({name: np.concatenate([x[name] for x in waiting]) for name, _ in POSTING}, buckets))
+            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["bucket", "block"])
+
         for batch in batches:
             for part, data, offsets in chunks(batch):
-                words, line, rows, number = line_sets(data, offsets)
-                ids, size = set_ids(words, line, len(rows))
-                # the first line of the chunk stands for its set; sets too small to have a partner but themselves are out
-                _, lead = np.unique(ids, return_index=True)
-                use = np.zeros(len(rows), bool)
-                use[lead] = True
-                use &= size >= math.ceil(1 / (1 - threshold) - 1e-9) - 1
-                pick = use[line]
-                words, line = words[pick], line[pick]
-                whole = words, line
-                order = np.lexsort((words, rarity[(words & np.uint64(SLOTS - 1)).astype(np.int64)], line))
-                words, line = words[order], line[order]
-                start = np.searchsorted(line, line)
-                at = np.arange(len(line)) - start
-                short = at < prefix_length(size[line], threshold)
-                words, line, at = words[short], line[short], at[short]
-                sig = signatures(*whole, len(rows))
-                of = pa.array(rows[line])
-                code = (words >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(1).take(of), pa.array(number[line].astype(np.int32)), pa.array(ids[line]), pa.array(code), pa.array(size[line].astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(sig[line])], names=schema.names)
+                found = of_chunk(part, data, offsets, shared.value)
+                waiting.append(found)
+                n += len(found["w"])
+                if n >= FLUSH:
+                    yield flush()
+                    waiting, n = [], 0
+        if n:
+            yield flush()
 
-    return slim.mapInArrow(each, schema)
+    return slim.mapInArrow(each, "bucket int, block binary")
+
+
+def fits(a: list[np.ndarray], b: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Length, positional and signature filters of meetings of two prefixes; none drops a pair that reaches the threshold."""
+    (_, na, ia, _, _, sa), (_, nb, ib, _, _, sb) = a, b
+    na, nb, ia, ib = (x.astype(np.int64) for x in (na, nb, ia, ib))
+    need = np.ceil((na + nb) * (threshold / (1 + threshold)) - 1e-9).astype(np.int64)
+    ok = (np.minimum(na, nb) >= np.maximum(na, nb) * threshold - 1e-9) & (1 + np.minimum(na - ia - 1, nb - ib - 1) >= need)
+    return ok & (np.bitwise_count(sa ^ sb).astype(np.int64) <= na + nb - 2 * need)
+
+
+def meetings(blocks: DataFrame, buckets: int, threshold: float) -> DataFrame:
+    """Candidate pairs (early, late), and rows (early, word, n, at, sig) of the postings of heavy words."""
+
+    def pair(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) < 1 << 22 else np.stack([np.minimum(a, b), np.maximum(a, b)])
+        n = both.shape[1]
+        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), *[pa.nulls(n, t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int64())]], names=names)
+
+    names = ["early", "late", "word", "n", "at", "sig"]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        light = [np.zeros(0, kind) for _, kind in POSTING]
+        leads = [np.zeros(0, kind) for _, kind in POSTING]  # one posting of each heavy word
+        waiting, n = [], 0
+
+        def fold() -> Iterator[pa.RecordBatch]:
+            nonlocal light, leads
+            cols = [np.concatenate([light[i], *[x[i] for x in waiting]]) for i in range(len(POSTING))]
+            order = np.lexsort((cols[4], cols[0]))
+            cols = [c[order] for c in cols]
+            new = np.concatenate([[True], (cols[0][1:] != cols[0][:-1]) | (cols[4][1:] != cols[4][:-1])])
+            cols = [c[new] for c in cols]
+            start = np.flatnonzero(np.concatenate([[True], cols[0][1:] != cols[0][:-1]]))
+            run = np.diff(np.append(start, len(cols[0])))
+            known = np.isin(cols[0][start], leads[0])
+            heavy = (run > HEAVY) | known
+            many = np.repeat(heavy, run)
+            light = [c[~many] for c in cols]
+            if not heavy.any():
+                return
+            cols = [c[many] for c in cols]
+            # an early set leads each word that is heavy from now on
+            start = np.flatnonzero(np.concatenate([[True], cols[0][1:] != cols[0][:-1]]))
+            first = np.lexsort((cols[3], cols[0]))[start]
+            first = first[~np.isin(cols[0][first], leads[0])]
+            leads = [np.concatenate([x, c[first]]) for x, c in zip(leads, cols)]
+            by = np.argsort(leads[0], kind="stable")
+            leads = [x[by] for x in leads]
+            lead = [x[np.searchsorted(leads[0], cols[0])] for x in leads]
+            ok = fits(lead, cols, threshold) & (lead[4] != cols[4])
+            yield pair(lead[4][ok], cols[4][ok])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[4]), pa.nulls(len(cols[4]), pa.int64()), pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.int32)), pa.array(cols[2].astype(np.int32)), pa.array(cols[5].view(np.int64))], names=names)
+
+        for batch in batches:
+            for block in batch.column(1):
+                waiting.append(unpacked(block.as_py()))
+                n += len(waiting[-1][0])
+                if n >= 2 * BUCKET:
+                    yield from fold()
+                    waiting, n = [], 0
+        if n:
+            yield from fold()
+        left, right = [], []
+        for step in range(1, HEAVY):
+            at = np.flatnonzero(light[0][step:] == light[0][:-step]) if len(light[0]) > step else np.zeros(0, np.int64)
+            if not len(at):
+                break
+            a, b = [c[at] for c in light], [c[at + step] for c in light]
+            ok = fits(a, b, threshold)
+            left.append(a[4][ok])
+            right.append(b[4][ok])
+        if left:
+            yield pair(np.concatenate(left), np.concatenate(right))
+
+    dealt = blocks.repartitionById(buckets, F.col("bucket"))
+    return dealt.mapInArrow(each, "early long, late long, word long, n int, at int, sig long")
 
 
 def needed_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -197,22 +340,12 @@ def needed_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 want = np.zeros(len(rows), bool)
                 want[lead] = bits[(got[lead].view(np.uint64) >> np.uint64(38)).astype(np.int64)]
                 want &= size > 0
-                pick = want[line]
-                values = words[pick].view(np.int64)
-                sizes = size[want]
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
-                yield pa.RecordBatch.from_arrays([pa.array(got[want]), lists], names=["id", "words"])
+                values = words[want[line]].view(np.int64)
+                ends = np.concatenate([[0], np.cumsum(size[want])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(got[want]), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["id", "words"])
 
     sets = docs.select("text").mapInArrow(each, "id long, words array<long>")
-    return sets.groupBy("id").agg(F.first("words").alias("words"))
-
-
-def passes(threshold: float, a: str, b: str) -> Column:
-    """Length, positional and signature filters of a meeting of two prefixes; none drops a pair that reaches the threshold."""
-    na, nb, ia, ib = (F.col(x) for x in (f"{a}_n", f"{b}_n", f"{a}_at", f"{b}_at"))
-    need = F.ceil((na + nb) * (threshold / (1 + threshold)) - 1e-9)
-    apart = F.bit_count(F.col(f"{a}_sig").bitwiseXOR(F.col(f"{b}_sig")))
-    return (F.least(na, nb) >= F.greatest(na, nb) * threshold - 1e-9) & (1 + F.least(na - ia - 1, nb - ib - 1) >= need) & (apart <= na + nb - 2 * need)
+    return sets.join(ids, "id", "left_semi").groupBy("id").agg(F.first("words").alias("words"))
 
 
 def verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
@@ -224,7 +357,10 @@ def verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     b = sets.select(F.col("id").alias("late"), F.col("words").alias("wb"))
     both = pairs.join(a, "early").join(b, "late")
     common = F.size(F.array_intersect("wa", "wb"))
-    return both.where(common >= (F.size("wa") + F.size("wb") - common) * threshold - 1e-9).select("early", "late")
+    out = materialize(both.where(common >= (F.size("wa") + F.size("wb") - common) * threshold - 1e-9).select("early", "late"), "near")
+    drop_materialized(pairs)
+    drop_materialized(sets)
+    return out
 
 
 def later(links: DataFrame, first: DataFrame) -> DataFrame:
@@ -235,46 +371,78 @@ def later(links: DataFrame, first: DataFrame) -> DataFrame:
     return both.select(F.when(F.col("fa") < F.col("fb"), F.col("late")).otherwise(F.col("early")).alias("id")).distinct()
 
 
-def near_repeats(docs: DataFrame, first: DataFrame, threshold: float = 0.8) -> DataFrame:
+def passes(threshold: float) -> Column:
+    """``fits`` for columns with the prefixes a_ and b_."""
+    na, nb, ia, ib = (F.col(x) for x in ("a_n", "b_n", "a_at", "b_at"))
+    need = F.ceil((na + nb) * (threshold / (1 + threshold)) - 1e-9)
+    apart = F.bit_count(F.col("a_sig").bitwiseXOR(F.col("b_sig")))
+    return (F.least(na, nb) >= F.greatest(na, nb) * threshold - 1e-9) & (1 + F.least(na - ia - 1, nb - ib - 1) >= need) & (apart <= na + nb - 2 * need)
+
+
+def near_repeats(docs: DataFrame, first: DataFrame, rank: np.ndarray, words: int, threshold: float = 0.8) -> DataFrame:
     """(id): the distinct sets that repeat an earlier set without being equal to it. ``first``: (id, first), the place of each set."""
-    posts = prefix_postings(docs, word_counts(docs), threshold)
-    by_word = W.partitionBy("word")
-    counted = posts.select("word", "id", "n", "at", "sig", F.struct("doc_id", "th", "line").alias("place"))
-    counted = counted.withColumn("c", F.count(F.lit(1)).over(by_word)).where("c > 1").withColumn("lead", F.when(F.col("c") > HEAVY, F.min(F.struct("place", "id", "n", "at", "sig")).over(by_word)))
-    posts = materialize(counted.drop("place"), "posts")
-    side = lambda df, p: df.select("word", *[F.col(x).alias(f"{p}_{x}") for x in ("id", "n", "at", "sig")])
-    meet = lambda df: df.where((F.col("a_id") != F.col("b_id")) & passes(threshold, "a", "b")).select(F.least("a_id", "b_id").alias("early"), F.greatest("a_id", "b_id").alias("late"))
-    light, heavy = posts.where(f"c <= {HEAVY}"), posts.where(f"c > {HEAVY}")
-    met = side(light, "a").join(side(light, "b"), "word").where("a_id < b_id")
-    # the lead of a word has the first place of all sets with it, so the others are the later ones
-    stars = heavy.select(*[F.col(f"lead.{x}").alias(f"a_{x}") for x in ("id", "n", "at", "sig")], *[F.col(x).alias(f"b_{x}") for x in ("id", "n", "at", "sig")])
-    done = materialize(later(verified(docs, meet(met).union(meet(stars)), threshold), first), "done")
+    buckets = max(1, math.ceil(words * (1 - threshold) / BUCKET))
+    met = materialize(meetings(prefix_postings(docs, rank, buckets, threshold), buckets, threshold), "met")
+    done = materialize(later(verified(docs, met.where("late IS NOT NULL").select("early", "late"), threshold), first), "done")
+    heavy = met.where("late IS NULL").select(F.col("early").alias("id"), "word", "n", "at", "sig")
     rest = heavy.join(done, "id", "left_anti")
-    more = meet(side(heavy, "a").join(side(rest, "b"), "word"))
-    return done.union(later(verified(docs, more, threshold), first)).distinct()
+    if not rest.limit(1).count():
+        return done
+    # sizes that reach the threshold lie in the same band or in neighbouring ones
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / threshold) + 1e-9)
+    a = heavy.select("word", band.alias("band"), *[F.col(x).alias(f"a_{x}") for x in ("id", "n", "at", "sig")])
+    b = rest.select("word", F.explode(F.array(band - 1, band, band + 1)).alias("band"), *[F.col(x).alias(f"b_{x}") for x in ("id", "n", "at", "sig")])
+    more = a.join(b, ["word", "band"]).where((F.col("a_id") != F.col("b_id")) & passes(threshold))
+    more = more.select(F.least("a_id", "b_id").alias("early"), F.greatest("a_id", "b_id").alias("late"))
+    out = materialize(done.union(later(verified(docs, more, threshold), first)).distinct(), "repeats")
+    drop_materialized(met)
+    return out
 
 
 def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(doc_id, th, lines): sorted numbers of the lines that go, for each document that loses any."""
-    lines = materialize(line_table(docs), "lines")
+    scan = materialize(scanned(docs), "lines")
+    rank, words = rarity(scan.where("block IS NOT NULL"))
+    lines = scan.where("block IS NULL").select("doc_id", "th", "line", "id")
     place = F.struct("doc_id", "th", "line")
-    first = materialize(lines.groupBy("id").agg(F.min(place).alias("first")), "first")
-    near = near_repeats(docs, first, threshold).withColumn("near", F.lit(True))
-    fate = first.join(near, "id", "left")
+    first = materialize(lines.groupBy("id").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")), "first")
+    near = near_repeats(docs, first, rank, words, threshold).withColumn("near", F.lit(True))
+    # sets of one line that repeat nothing are of no concern any more
+    fate = first.join(near, "id", "left").where("c > 1 OR near").select("id", "first", "near")
     gone = lines.join(fate, "id").where((place != F.col("first")) | F.coalesce("near", F.lit(False)))
-    return gone.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+    out = materialize(gone.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("line")).alias("lines")), "gone")
+    drop_materialized(scan)
+    drop_materialized(first)
+    return out
+
+
+def copies(docs: DataFrame) -> DataFrame:
+    """doc_id, th, text and ``again``: whether the row repeats another one, equal in id and text, that counts as the earlier."""
+    slim = keyed(docs)
+    twice = slim.groupBy("doc_id", "th").count().where("count > 1").select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"))
+    if not twice.limit(1).count():
+        return slim.withColumn("again", F.lit(False))
+    twice = materialize(twice, "twice")
+    same = slim["doc_id"].eqNullSafe(twice["__d"]) & (slim["th"] == twice["__t"])
+    ranked = slim.join(twice, same, "left_semi").withColumn("again", F.row_number().over(W.partitionBy("doc_id", "th").orderBy("th")) > 1)
+    return slim.join(twice, same, "left_anti").withColumn("again", F.lit(False)).union(ranked)
 
 
 def dedup(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """doc_id, text without repeated lines, n_lines and n_removed of every document."""
-    gone = removed_lines(docs, threshold).select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), "lines")
-    slim = keyed(docs)
-    both = slim.join(gone, slim["doc_id"].eqNullSafe(gone["__d"]) & (slim["th"] == gone["__t"]), "left")
-    parts = F.split("text", "\n", -1)
-    kept = F.expr("array_join(filter(transform(split(text, '\\n', -1), (x, i) -> named_struct('x', x, 'i', i)), y -> NOT array_contains(lines, y.i)).x, '\\n')")
+    ship(docs.sparkSession)
+    gone = removed_lines(docs, threshold)
+    small = (gone.agg(F.sum(F.size("lines") + 8)).first()[0] or 0) <= BROADCAST
+    gone = gone.select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), "lines")
+    slim = copies(docs)
+    both = slim.join(F.broadcast(gone) if small else gone, slim["doc_id"].eqNullSafe(gone["__d"]) & (slim["th"] == gone["__t"]), "left")
+    both = both.withColumn("parts", F.split("text", "\n", -1))
+    wordy = f"filter(sequence(0, size(parts) - 1), i -> parts[i] RLIKE '{WORDY}')"
+    both = both.withColumn("lines", F.expr(f"CASE WHEN again AND text IS NOT NULL THEN {wordy} ELSE lines END"))
+    kept = F.expr("array_join(transform(array_except(sequence(0, size(parts) - 1), lines), i -> parts[i]), '\\n')")
     return both.select(
         "doc_id",
         F.when(F.col("lines").isNull(), F.col("text")).otherwise(kept).alias("text"),
-        F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(parts)).cast("long").alias("n_lines"),
+        F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("parts")).cast("long").alias("n_lines"),
         F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_removed"),
     )
