@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from chronolake.llm.textbytes import LOWER, chunks, shingle_hashes, word_bounds, word_hashes
+from chronolake.llm.textbytes import LOWER_WORD, chunks, shingle_hashes, word_bounds, word_hashes
 
 K = 5
 THRESHOLD = 0.8
@@ -67,8 +67,8 @@ def text_shingles(text: str | None, k: int) -> tuple[np.ndarray, int]:
     """Shingle hashes of a text and its number of words."""
     data = np.frombuffer((text or "").encode(), np.uint8)
     offsets = np.array([0, len(data)])
-    data = LOWER[data]
-    starts, ends, rows = word_bounds(data, offsets)
+    data = LOWER_WORD[data]
+    starts, ends, rows = word_bounds(data, offsets, None)
     hashes, _, _ = shingle_hashes(word_hashes(data, starts, ends), rows, 1, k)
     return hashes, len(starts)
 
@@ -105,8 +105,8 @@ def likeness(window: np.ndarray, counts: dict[int, int]) -> float:
 def find(ix: Index, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, float, int]]:
     """(row, item, likeness, first word) of the best window of each row and item that match."""
     n_rows = len(offsets) - 1
-    data = LOWER[data]
-    starts, ends, rows = word_bounds(data, offsets)
+    data = LOWER_WORD[data]
+    starts, ends, rows = word_bounds(data, offsets, None)
     words = word_hashes(data, starts, ends)
     n_words = np.bincount(rows, minlength=n_rows) if len(rows) else np.zeros(n_rows, np.int64)
     first_word = np.cumsum(n_words) - n_words

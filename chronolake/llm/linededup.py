@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 from pyspark.sql.types import NumericType, StructType
 
-from chronolake.llm.textbytes import LOWER, chunks, mix, word_bounds, word_hashes
+from chronolake.llm.textbytes import LOWER_WORD, chunks, mix, word_bounds, word_hashes
 from chronolake.runtime import drop_materialized, materialize, ship
 
 SLOTS = 1 << 20
@@ -61,8 +61,8 @@ def line_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     first = np.cumsum(lines) - lines
     rows = np.repeat(np.arange(len(lines)), lines)
     number = np.arange(len(rows)) - first[rows]
-    folded = LOWER[data]
-    starts, ends, word_row = word_bounds(folded, offsets)
+    folded = LOWER_WORD[data]
+    starts, ends, word_row = word_bounds(folded, offsets, None)
     line = np.cumsum(at_break, dtype=np.int32)[starts] + word_row
     code = word_hashes(folded, starts, ends) >> np.uint64(64 - CODE)
     if len(rows) <= LINES:

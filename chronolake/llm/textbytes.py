@@ -7,13 +7,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 2 << 20
+CHUNK = 1 << 19  # what numpy works on stays in the cache
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so invertible modulo 2**64
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 WORD = np.zeros(256, dtype=bool)
 WORD[48:58] = WORD[97:123] = WORD[65:91] = True
 WORD[128:] = True
+LOWER_WORD = np.where(WORD, LOWER, 0).astype(np.uint8)  # folded bytes of words, 0 elsewhere
 
 _POWERS: dict[str, np.ndarray] = {}
 
@@ -57,31 +58,39 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of each word, and the row of each word. Words do not cross rows."""
-    inside = is_word[data]
-    edge = np.zeros(len(data) + 1, dtype=bool)
-    edge[1:-1] = inside[1:] != inside[:-1]
+def word_bounds(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray | None = WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each word, and the row of each word. Words do not cross rows. No ``is_word``: words are what is not 0."""
+    inside = data != 0 if is_word is None else is_word[data]
+    at = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     if len(data):
-        edge[0], edge[-1] = inside[0], inside[-1]
+        at = np.concatenate([np.zeros(int(inside[0]), np.int64), at, np.full(int(inside[-1]), len(data))])
     cut = np.unique(offsets[1:-1])  # empty rows share a bound
     cut = cut[(cut > 0) & (cut < len(data))]
     both = cut[inside[cut] & inside[cut - 1]]
-    at = np.flatnonzero(edge)
     if len(both):
         at = np.sort(np.concatenate([at, both, both]), kind="stable")
     starts, ends = at[0::2], at[1::2]
-    return starts, ends, np.searchsorted(offsets, starts, "right") - 1
+    first = np.searchsorted(starts, offsets)
+    return starts, ends, np.repeat(np.arange(len(offsets) - 1), np.diff(first))
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, the same wherever the word stands."""
+    """A 64-bit hash of each word's bytes, the same wherever the word stands; no byte of a word is 0."""
+    n = len(data)
     if not len(starts):
         return np.zeros(0, np.uint64)
-    up, down = powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts])
+    up, down = powers(n + 1)
+    if len(_POWERS.get("sums", ())) <= n:
+        # kept between chunks, unless one is far larger than most
+        _POWERS["parts"], _POWERS["sums"] = np.empty(n, np.uint64), np.zeros(n + 1, np.uint64)
+    parts, total = _POWERS["parts"][:n], _POWERS["sums"][: n + 1]
+    np.multiply(data, up[:n], out=parts)
+    np.cumsum(parts, out=total[1:])
+    found = mix((total[ends] - total[starts]) * down[starts])
+    if n > 8 * CHUNK:
+        for name in ("parts", "sums", "up", "down"):
+            _POWERS.pop(name, None)
+    return found
 
 
 def shingle_hashes(words: np.ndarray, rows: np.ndarray, n_rows: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
