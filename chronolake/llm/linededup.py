@@ -10,14 +10,18 @@ join with
   a rare-first one keeps it small;
 * the prefix filter: two sets that reach the threshold share a word among their first
   ``n - ceil(threshold * n) + 1`` words in that order;
+* keys of two words where the word is common (over ``COMMON`` lines): two such sets share two
+  words among their first ``n - ceil(threshold * n) + 2``, so a common word counts only with
+  one of the words after it. Sets of over ``LONG`` words keep the word alone, and those that
+  may match either kind have both keys;
 * length and positional filters on each meeting of two prefixes, and one on parity signatures;
 * verification of the whole sets.
 
 Postings travel as packed blocks, one a bucket of words and flush, so that the shuffle moves
 few rows; the number of buckets follows the number of words. A task reads its bucket in
-blocks and keeps at most ``HEAVY`` postings of a word: a word with more is heavy, and met
+blocks and keeps at most ``HEAVY`` postings of a key: a key with more is heavy, and met
 at once with one early set only; sets that this proves to be repeats need no further
-partner, and just the others meet all sets with that word and a size that fits. So a group
+partner, and just the others meet all sets with that key and a size that fits. So a group
 of near copies costs a star and not all its pairs, and no match is lost.
 
 Words are 42-bit hashes and sets 64-bit hashes. Lines without words stay. Null texts have no
@@ -39,12 +43,14 @@ from pyspark.sql.types import NumericType, StructType
 from chronolake.llm.textbytes import LOWER_WORD, chunks, mix, word_bounds, word_hashes
 from chronolake.runtime import drop_materialized, materialize, ship
 
-SLOTS = 1 << 20
+SLOTS = 1 << 22
 BLOCK = 1 << 16  # slots a row of counts
 CODE = 42  # bits of a word
 LINES = 1 << (64 - CODE)  # lines that fit beside a word in 64 bits
 RANKED = 1 << (56 - CODE)  # lines that fit beside a word and its rarity
-HEAVY = 64
+HEAVY = 1024
+COMMON = 2048
+LONG = 256
 FLUSH = 1 << 19  # postings that a task gathers before it packs them
 BUCKET = 1 << 19  # postings a bucket, about
 BITS = 1 << 26  # of the filter for the sets that verification needs
@@ -128,12 +134,19 @@ def rarity(counts: DataFrame) -> tuple[np.ndarray, int]:
             for b, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 sums[b] = sums.get(b, 0) + np.frombuffer(zlib.decompress(c), "<i8")
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.astype("<i8").tobytes() for x in sums.values()], pa.binary())], names=["block", "counts"])
+            ranks = [ranked(x).tobytes() for x in sums.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(ranks, pa.binary()), pa.array([int(x.sum()) for x in sums.values()], pa.int64())], names=["block", "ranks", "n"])
 
-    out = np.zeros(SLOTS, np.int64)
-    for block, part in counts.select("block", "counts").repartition(SLOTS // BLOCK, "block").mapInArrow(add, "block int, counts binary").collect():  # SLOTS counts, whatever the input
-        out[block * BLOCK : (block + 1) * BLOCK] += np.frombuffer(part, "<i8")
-    return np.minimum(255, 8 * np.log2(out + 1.0)).astype(np.uint8), int(out.sum())
+    out, total = np.zeros(SLOTS, np.uint8), 0
+    # one partition has all rows of a block, so its counts are whole; SLOTS bytes come back, whatever the input
+    for block, part, n in counts.select("block", "counts").repartition(SLOTS // BLOCK, "block").mapInArrow(add, "block int, ranks binary, n long").collect():
+        out[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(part, np.uint8)
+        total += n
+    return out, total
+
+
+def ranked(counts: np.ndarray) -> np.ndarray:
+    return np.minimum(255, 8 * np.log2(counts + 1.0)).astype(np.uint8)
 
 
 def prefix_length(n: np.ndarray, threshold: float) -> np.ndarray:
@@ -187,7 +200,7 @@ def prefix_postings(docs: DataFrame, rank: np.ndarray, buckets: int, threshold:
     """(bucket, block): packed postings of the prefixes of all distinct sets of each chunk."""
     slim = keyed(docs)
     numeric = isinstance(docs.schema["doc_id"].dataType, NumericType)
-    shared = docs.sparkSession.sparkContext.broadcast(rank)  # 1 MB, whatever the input
+    shared = docs.sparkSession.sparkContext.broadcast(rank)  # SLOTS bytes, whatever the input
 
     def of_chunk(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, rank: np.ndarray) -> dict[str, np.ndarray]:
         words, line, rows, _ = line_sets(data, offsets)
@@ -203,13 +216,23 @@ def prefix_postings(docs: DataFrame, rank: np.ndarray, buckets: int, threshold:
         words, line = rare_first(words, line, rank)
         start = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(line) else np.zeros(0, np.int64)
         at = np.arange(len(line)) - np.repeat(start, np.diff(np.append(start, len(line))))
+        few, rare = prefix_length(size[line], threshold), rank[slot(words)]
+        inside, common = at < few, rare >= ranked(np.array(COMMON))
         # a slot with one line holds no shared word
-        short = (at < prefix_length(size[line], threshold)) & (rank[slot(words)] > 8)
-        words, line, at = words[short], line[short], at[short]
+        alone = np.flatnonzero(inside & (rare > 8) & (~common | (size[line] >= LONG * threshold - 1e-9)))
+        keys, spots = [words[alone] & np.uint64(0xFFFFFFFF)], [alone]
+        first, step = np.flatnonzero(inside & common & (size[line] <= LONG)), 0
+        while len(first):
+            step += 1
+            first = first[(at[first] + step <= few[first]) & (at[first] + step < size[line[first]])]
+            keys.append(mix(words[first] * np.uint64(0x9E3779B97F4A7C15) ^ words[first + step]) >> np.uint64(32))
+            spots.append(first)
+        keys, spots = np.concatenate(keys), np.concatenate(spots)
+        line, at = line[spots], at[spots]
         order = np.zeros(part.num_rows, np.float32)
         if numeric:
             order = part.column(0).cast(pa.float64(), safe=False).fill_null(-np.inf).to_numpy(zero_copy_only=False).astype(np.float32)
-        return {"w": (words & np.uint64(0xFFFFFFFF)).astype(np.uint32), "n": size[line], "at": at, "d": order[rows[line]], "id": ids[line], "sig": sig[line]}
+        return {"w": keys.astype(np.uint32), "n": size[line], "at": at, "d": order[rows[line]], "id": ids[line], "sig": sig[line]}
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, n = [], 0
@@ -259,7 +282,7 @@ def meetings(blocks: DataFrame, buckets: int, threshold: float) -> DataFrame:
         def fold() -> Iterator[pa.RecordBatch]:
             nonlocal light, leads
             cols = [np.concatenate([light[i], *[x[i] for x in waiting]]) for i in range(len(POSTING))]
-            order = np.lexsort((cols[4], cols[0]))
+            order = np.lexsort((cols[2], cols[4], cols[0]))  # of a set's equal keys the foremost stays
             cols = [c[order] for c in cols]
             new = np.concatenate([[True], (cols[0][1:] != cols[0][:-1]) | (cols[4][1:] != cols[4][:-1])])
             cols = [c[new] for c in cols]
@@ -293,15 +316,24 @@ def meetings(blocks: DataFrame, buckets: int, threshold: float) -> DataFrame:
                     waiting, n = [], 0
         if n:
             yield from fold()
+        # postings of a key by size: each meets the larger ones until they are too large
+        order = np.lexsort((light[1], light[0]))
+        light = [c[order] for c in light]
+        need = np.ceil(light[1] * (2 * threshold / (1 + threshold)) - 1e-9)
+        near, step = np.flatnonzero(light[2] < light[1] - need + 1), 0
         left, right = [], []
-        for step in range(1, HEAVY):
-            at = np.flatnonzero(light[0][step:] == light[0][:-step]) if len(light[0]) > step else np.zeros(0, np.int64)
-            if not len(at):
-                break
-            a, b = [c[at] for c in light], [c[at + step] for c in light]
-            ok = fits(a, b, threshold)
-            left.append(a[4][ok])
-            right.append(b[4][ok])
+        while len(near):
+            step += 1
+            near = near[near + step < len(order)]
+            near = near[(light[0][near] == light[0][near + step]) & (light[1][near] >= light[1][near + step] * threshold - 1e-9)]
+            for part in range(0, len(near), 1 << 20):
+                a = near[part : part + (1 << 20)]
+                ok = fits([c[a] for c in light], [c[a + step] for c in light], threshold)
+                left.append(light[4][a[ok]])
+                right.append(light[4][a[ok] + step])
+            if sum(map(len, left)) > 1 << 20:
+                yield pair(np.concatenate(left), np.concatenate(right))
+                left, right = [], []
         if left:
             yield pair(np.concatenate(left), np.concatenate(right))
 

@@ -229,8 +229,10 @@ def dedup_plainly(docs, threshold=0.8):
     return out
 
 
-@pytest.mark.parametrize("heavy", [2, 64])
-def test_line_dedup_is_exact(spark, heavy):
+@pytest.mark.parametrize("heavy, common, long", [(2, 2, 256), (1024, 2, 8), (1024, 2048, 256), (3, 30, 6)])
+def test_line_dedup_is_exact(spark, monkeypatch, heavy, common, long):
+    for name, value in (("HEAVY", heavy), ("COMMON", common), ("LONG", long)):
+        monkeypatch.setattr(linededup, name, value)
     rng = np.random.default_rng(4)
     vocab = [f"w{i}" for i in range(40)]
     lines = [" ".join(rng.choice(vocab, int(rng.integers(1, 14)))) for _ in range(150)]
@@ -243,14 +245,16 @@ def test_line_dedup_is_exact(spark, heavy):
                 ws[int(rng.integers(0, len(ws)))] = str(rng.choice(vocab))
             mine.append(" ".join(ws) + ("." if rng.random() < 0.3 else ""))
         docs.append((i, "\n".join([*mine, ""])))
-    was, linededup.HEAVY = linededup.HEAVY, heavy
-    try:
-        got = {r.doc_id: r.text for r in linededup.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    finally:
-        linededup.HEAVY = was
+    got = {r.doc_id: r.text for r in linededup.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == dedup_plainly(docs)
 
 
+def test_equal_rows_lose_their_lines_but_once(spark):
+    rows = [(None, "one line\n--\ntwo lines"), (None, "one line\n--\ntwo lines"), (1, None), (1, None)]
+    got = sorted((r.text or "", r.n_lines, r.n_removed) for r in linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [("", 0, 0), ("", 0, 0), ("--", 3, 2), ("one line\n--\ntwo lines", 3, 0)]
+
+
 # ---- language
 
 
