@@ -17,12 +17,14 @@ join with
 * length and positional filters on each meeting of two prefixes, and one on parity signatures;
 * verification of the whole sets.
 
-Postings travel as packed blocks, one a bucket of words and flush, so that the shuffle moves
-few rows; the number of buckets follows the number of words. A task reads its bucket in
-blocks and keeps at most ``HEAVY`` postings of a key: a key with more is heavy, and met
-at once with one early set only; sets that this proves to be repeats need no further
-partner, and just the others meet all sets with that key and a size that fits. So a group
-of near copies costs a star and not all its pairs, and no match is lost.
+Postings travel as packed blocks, one a bucket of keys and flush, so that the shuffle moves
+few rows; the number of buckets follows the number of words. Inside a key the earliest set
+that no other one is likely to explain leads: the sets that pass the filters with it are
+tried against it alone. A set that no leader explains meets all earlier sets of the key. So
+a group of near copies costs a star and not all its pairs. Sets whose trial fails meet all
+sets of those keys in a second round, so no match is lost. A task reads its bucket in blocks
+and keeps at most ``HEAVY`` postings of a key; of a key with more it keeps a leader, and the
+second round joins its sets by key and band of sizes.
 
 Words are 42-bit hashes and sets 64-bit hashes. Lines without words stay. Null texts have no
 lines and stay null. Of rows equal in id and text one is the earlier: the others lose every
@@ -48,7 +50,8 @@ BLOCK = 1 << 16  # slots a row of counts
 CODE = 42  # bits of a word
 LINES = 1 << (64 - CODE)  # lines that fit beside a word in 64 bits
 RANKED = 1 << (56 - CODE)  # lines that fit beside a word and its rarity
-HEAVY = 1024
+HEAVY = 1 << 14
+LEADS = 4  # leaders of a key
 COMMON = 2048
 LONG = 256
 FLUSH = 1 << 19  # postings that a task gathers before it packs them
@@ -196,13 +199,13 @@ def unpacked(block: bytes) -> list[np.ndarray]:
     return out
 
 
-def prefix_postings(docs: DataFrame, rank: np.ndarray, buckets: int, threshold: float) -> DataFrame:
-    """(bucket, block): packed postings of the prefixes of all distinct sets of each chunk."""
+def prefix_postings(docs: DataFrame, rank: np.ndarray, buckets: int, threshold: float, only: np.ndarray | None = None) -> DataFrame:
+    """(bucket, block): packed postings of the prefixes of all distinct sets of each chunk; of keys in the filter ``only``."""
     slim = keyed(docs)
     numeric = isinstance(docs.schema["doc_id"].dataType, NumericType)
-    shared = docs.sparkSession.sparkContext.broadcast(rank)  # SLOTS bytes, whatever the input
+    shared = docs.sparkSession.sparkContext.broadcast((rank, only))  # SLOTS bytes and a filter, whatever the input
 
-    def of_chunk(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, rank: np.ndarray) -> dict[str, np.ndarray]:
+    def of_chunk(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, rank: np.ndarray, only: np.ndarray | None) -> dict[str, np.ndarray]:
         words, line, rows, _ = line_sets(data, offsets)
         ids, size = set_ids(words, line, len(rows))
         # one line of the chunk stands for its set; sets too small to have a partner but themselves are out
@@ -228,6 +231,9 @@ def prefix_postings(docs: DataFrame, rank: np.ndarray, buckets: int, threshold:
             keys.append(mix(words[first] * np.uint64(0x9E3779B97F4A7C15) ^ words[first + step]) >> np.uint64(32))
             spots.append(first)
         keys, spots = np.concatenate(keys), np.concatenate(spots)
+        if only is not None:
+            want = marked(only, keys)
+            keys, spots = keys[want], spots[want]
         line, at = line[spots], at[spots]
         order = np.zeros(part.num_rows, np.float32)
         if numeric:
@@ -243,7 +249,7 @@ def prefix_postings(docs: DataFrame, rank: np.ndarray, buckets: int, threshold:
 
         for batch in batches:
             for part, data, offsets in chunks(batch):
-                found = of_chunk(part, data, offsets, shared.value)
+                found = of_chunk(part, data, offsets, *shared.value)
                 waiting.append(found)
                 n += len(found["w"])
                 if n >= FLUSH:
@@ -264,48 +270,114 @@ def fits(a: list[np.ndarray], b: list[np.ndarray], threshold: float) -> np.ndarr
     return ok & (np.bitwise_count(sa ^ sb).astype(np.int64) <= na + nb - 2 * need)
 
 
-def meetings(blocks: DataFrame, buckets: int, threshold: float) -> DataFrame:
-    """Candidate pairs (early, late), and rows (early, word, n, at, sig) of the postings of heavy words."""
+def marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the numbers are in a packed filter."""
+    at = (mix(keys.astype(np.uint64)) & np.uint64(BITS - 1)).astype(np.int64)
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
-    def pair(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) < 1 << 22 else np.stack([np.minimum(a, b), np.maximum(a, b)])
-        n = both.shape[1]
-        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), *[pa.nulls(n, t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int64())]], names=names)
 
-    names = ["early", "late", "word", "n", "at", "sig"]
+def filter_of(keys: DataFrame) -> np.ndarray:
+    """A packed filter of fixed size of a column of longs; it holds all of them, and others by chance."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(BITS, bool)
+        for batch in batches:
+            bits[(mix(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)) & np.uint64(BITS - 1)).astype(np.int64)] = True
+        packed = np.packbits(bits)
+        for b in range(0, len(packed), 1 << 16):
+            some = packed[b : b + (1 << 16)]
+            if some.any():
+                yield pa.RecordBatch.from_arrays([pa.array([b >> 16], pa.int32()), pa.array([zlib.compress(some.tobytes(), 1)], pa.binary())], names=["block", "bits"])
+
+    found = np.zeros(BITS // 8, np.uint8)
+    marks = keys.coalesce(8).mapInArrow(mark, "block int, bits binary")
+    for block, piece in marks.toLocalIterator():  # eight tasks at most, a filter each
+        found[block << 16 : (block + 1) << 16] |= np.frombuffer(zlib.decompress(piece), np.uint8)
+    return found
+
+
+NAMES = ["early", "late", "word", "n", "at", "sig"]
+
+
+def rows_of(early: np.ndarray | None, late: np.ndarray | None, word: np.ndarray | None = None, cols: list[np.ndarray] | None = None) -> pa.RecordBatch:
+    n = len(early if early is not None else late)
+    rest = [pa.nulls(n, t) for t in (pa.int32(), pa.int32(), pa.int64())]
+    if cols is not None:
+        rest = [pa.array(cols[1].astype(np.int32)), pa.array(cols[2].astype(np.int32)), pa.array(cols[5].view(np.int64))]
+    some = [pa.nulls(n, pa.int64()) if x is None else pa.array(x.astype(np.int64)) for x in (early, late, word)]
+    return pa.RecordBatch.from_arrays([*some, *rest], names=NAMES)
+
+
+def starts_of(key: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+
+
+def lead(cols: list[np.ndarray], threshold: float) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Which postings a leader of their key is likely to explain, and the pairs (leader, posting) that say so. ``cols`` are ordered by key."""
+    word, order = cols[0], cols[3]
+    explained, led, pairs = np.zeros(len(word), bool), np.zeros(len(word), bool), []
+    run = np.diff(np.append(starts_of(word), len(word)))
+    key = np.repeat(np.arange(len(run)), run)
+    open_ = np.flatnonzero((run > 2)[key])
+    for _ in range(LEADS):
+        open_ = open_[~(explained[open_] | led[open_])]
+        if not len(open_):
+            break
+        by = open_[np.lexsort((order[open_], key[open_]))]
+        first = by[starts_of(key[by])]
+        of_key = np.full(len(run), -1)
+        of_key[key[first]] = first
+        led[first] = True
+        open_ = open_[~led[open_]]
+        a = of_key[key[open_]]
+        ok = fits([c[a] for c in cols], [c[open_] for c in cols], threshold)
+        explained[open_[ok]] = True
+        pairs.append((a[ok], open_[ok]))
+    return explained, pairs
+
+
+def meetings(blocks: DataFrame, buckets: int, threshold: float, questioned: np.ndarray | None = None) -> DataFrame:
+    """Candidate pairs (early, late) of each key, ``early`` being the earlier set or one as early.
+
+    First round: a row with a ``word`` says that ``late`` has not met all earlier sets of that
+    key (``early``, if any, is its leader). Second round (``questioned``: a filter of the sets in
+    question): all pairs of those sets; rows without ``late`` are the postings of heavy keys.
+    """
+
+    shared = blocks.sparkSession.sparkContext.broadcast(questioned)  # a filter of fixed size
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        again = shared.value
         light = [np.zeros(0, kind) for _, kind in POSTING]
-        leads = [np.zeros(0, kind) for _, kind in POSTING]  # one posting of each heavy word
+        leads = [np.zeros(0, kind) for _, kind in POSTING]  # one posting of each heavy key
         waiting, n = [], 0
 
         def fold() -> Iterator[pa.RecordBatch]:
             nonlocal light, leads
             cols = [np.concatenate([light[i], *[x[i] for x in waiting]]) for i in range(len(POSTING))]
-            order = np.lexsort((cols[2], cols[4], cols[0]))  # of a set's equal keys the foremost stays
+            order = np.lexsort((cols[2], cols[3], cols[4], cols[0]))  # of a set's equal keys the earliest and foremost stays
             cols = [c[order] for c in cols]
             new = np.concatenate([[True], (cols[0][1:] != cols[0][:-1]) | (cols[4][1:] != cols[4][:-1])])
             cols = [c[new] for c in cols]
-            start = np.flatnonzero(np.concatenate([[True], cols[0][1:] != cols[0][:-1]]))
+            start = starts_of(cols[0])
             run = np.diff(np.append(start, len(cols[0])))
-            known = np.isin(cols[0][start], leads[0])
-            heavy = (run > HEAVY) | known
-            many = np.repeat(heavy, run)
+            many = np.repeat((run > HEAVY) | np.isin(cols[0][start], leads[0]), run)
             light = [c[~many] for c in cols]
-            if not heavy.any():
+            if not many.any():
                 return
             cols = [c[many] for c in cols]
-            # an early set leads each word that is heavy from now on
-            start = np.flatnonzero(np.concatenate([[True], cols[0][1:] != cols[0][:-1]]))
-            first = np.lexsort((cols[3], cols[0]))[start]
+            first = np.lexsort((cols[3], cols[0]))[starts_of(cols[0])]
             first = first[~np.isin(cols[0][first], leads[0])]
             leads = [np.concatenate([x, c[first]]) for x, c in zip(leads, cols)]
             by = np.argsort(leads[0], kind="stable")
             leads = [x[by] for x in leads]
-            lead = [x[np.searchsorted(leads[0], cols[0])] for x in leads]
-            ok = fits(lead, cols, threshold) & (lead[4] != cols[4])
-            yield pair(lead[4][ok], cols[4][ok])
-            yield pa.RecordBatch.from_arrays([pa.array(cols[4]), pa.nulls(len(cols[4]), pa.int64()), pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.int32)), pa.array(cols[2].astype(np.int32)), pa.array(cols[5].view(np.int64))], names=names)
+            if again is not None:
+                yield rows_of(cols[4], None, cols[0], cols)
+                return
+            head = [x[np.searchsorted(leads[0], cols[0])] for x in leads]
+            ok = fits(head, cols, threshold) & (head[4] != cols[4])
+            yield rows_of(head[4][ok], cols[4][ok], cols[0][ok])
+            yield rows_of(None, cols[4][~ok], cols[0][~ok])
 
         for batch in batches:
             for block in batch.column(1):
@@ -319,8 +391,23 @@ def meetings(blocks: DataFrame, buckets: int, threshold: float) -> DataFrame:
         # postings of a key by size: each meets the larger ones until they are too large
         order = np.lexsort((light[1], light[0]))
         light = [c[order] for c in light]
+        if again is None:
+            explained, pairs = lead(light, threshold)
+            for a, b in pairs:
+                yield rows_of(light[4][a], light[4][b], light[0][b])
+            asks = ~explained
+        else:
+            asks = marked(again, light[4].view(np.uint64))
+        # keys in which some set but the earliest asks
+        start = starts_of(light[0])
+        run = np.diff(np.append(start, len(order)))
+        least = np.minimum.reduceat(light[3], start) if len(start) else light[3]
+        # a set as early as the earliest may have to meet it: ties ask too
+        alone = np.repeat(np.add.reduceat(light[3] == np.repeat(least, run), start) == 1, run) if len(start) else asks
+        later_asks = asks & ~(alone & (light[3] == np.repeat(least, run)))
+        alive = np.repeat(np.logical_or.reduceat(later_asks, start), run) if len(start) else asks
         need = np.ceil(light[1] * (2 * threshold / (1 + threshold)) - 1e-9)
-        near, step = np.flatnonzero(light[2] < light[1] - need + 1), 0
+        near, step = np.flatnonzero(alive & (light[2] < light[1] - need + 1)), 0
         left, right = [], []
         while len(near):
             step += 1
@@ -328,14 +415,17 @@ def meetings(blocks: DataFrame, buckets: int, threshold: float) -> DataFrame:
             near = near[(light[0][near] == light[0][near + step]) & (light[1][near] >= light[1][near + step] * threshold - 1e-9)]
             for part in range(0, len(near), 1 << 20):
                 a = near[part : part + (1 << 20)]
-                ok = fits([c[a] for c in light], [c[a + step] for c in light], threshold)
+                b = a + step
+                ask = (asks[a] & (light[3][a] >= light[3][b])) | (asks[b] & (light[3][b] >= light[3][a]))
+                a, b = a[ask], b[ask]
+                ok = fits([c[a] for c in light], [c[b] for c in light], threshold)
                 left.append(light[4][a[ok]])
-                right.append(light[4][a[ok] + step])
+                right.append(light[4][b[ok]])
             if sum(map(len, left)) > 1 << 20:
-                yield pair(np.concatenate(left), np.concatenate(right))
+                yield rows_of(np.concatenate(left), np.concatenate(right))
                 left, right = [], []
         if left:
-            yield pair(np.concatenate(left), np.concatenate(right))
+            yield rows_of(np.concatenate(left), np.concatenate(right))
 
     dealt = blocks.repartitionById(buckets, F.col("bucket"))
     return dealt.mapInArrow(each, "early long, late long, word long, n int, at int, sig long")
@@ -343,45 +433,28 @@ def meetings(blocks: DataFrame, buckets: int, threshold: float) -> DataFrame:
 
 def needed_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, words): the whole sets named in ``ids``; a filter of fixed size keeps most others from being emitted."""
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(BITS, bool)
-        for batch in batches:
-            bits[(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(38)).astype(np.int64)] = True
-        packed = np.packbits(bits)
-        for b in range(0, len(packed), 1 << 16):
-            some = packed[b : b + (1 << 16)]
-            if some.any():
-                yield pa.RecordBatch.from_arrays([pa.array([b >> 16], pa.int32()), pa.array([some.tobytes()], pa.binary())], names=["block", "bits"])
-
-    found = np.zeros(BITS // 8, np.uint8)
-    marks = ids.select("id").coalesce(8).mapInArrow(mark, "block int, bits binary")
-    merged = marks.groupBy("block").agg(F.collect_list("bits").alias("b"))  # eight tasks at most give eight pieces a block
-    for block, pieces in merged.toLocalIterator():
-        for p in pieces:
-            found[block << 16 : (block + 1) << 16] |= np.frombuffer(p, np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(found)
+    shared = docs.sparkSession.sparkContext.broadcast(filter_of(ids.select("id")))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(shared.value).view(bool)
         for batch in batches:
             for _, data, offsets in chunks(batch):
                 words, line, rows, _ = line_sets(data, offsets)
                 got, size = set_ids(words, line, len(rows))
-                _, lead = np.unique(got, return_index=True)
+                _, first = np.unique(got, return_index=True)
                 want = np.zeros(len(rows), bool)
-                want[lead] = bits[(got[lead].view(np.uint64) >> np.uint64(38)).astype(np.int64)]
+                want[first] = marked(shared.value, got[first].view(np.uint64))
                 want &= size > 0
                 values = words[want[line]].view(np.int64)
                 ends = np.concatenate([[0], np.cumsum(size[want])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(got[want]), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["id", "words"])
 
     sets = docs.select("text").mapInArrow(each, "id long, words array<long>")
-    return sets.join(ids, "id", "left_semi").groupBy("id").agg(F.first("words").alias("words"))
+    return sets.groupBy("id").agg(F.first("words").alias("words"))
 
 
 def verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """The distinct ``pairs`` (early, late) whose whole sets reach the threshold."""
+    pairs = pairs.select(F.least("early", "late").alias("early"), F.greatest("early", "late").alias("late"))
     pairs = materialize(pairs.distinct(), "pairs")
     ids = pairs.select(F.col("early").alias("id")).union(pairs.select("late")).distinct()
     sets = materialize(needed_sets(docs, ids), "sets")
@@ -415,17 +488,22 @@ def near_repeats(docs: DataFrame, first: DataFrame, rank: np.ndarray, words: int
     """(id): the distinct sets that repeat an earlier set without being equal to it. ``first``: (id, first), the place of each set."""
     buckets = max(1, math.ceil(words * (1 - threshold) / BUCKET))
     met = materialize(meetings(prefix_postings(docs, rank, buckets, threshold), buckets, threshold), "met")
-    done = materialize(later(verified(docs, met.where("late IS NOT NULL").select("early", "late"), threshold), first), "done")
-    heavy = met.where("late IS NULL").select(F.col("early").alias("id"), "word", "n", "at", "sig")
-    rest = heavy.join(done, "id", "left_anti")
-    if not rest.limit(1).count():
+    done = materialize(later(verified(docs, met.where("early IS NOT NULL").select("early", "late"), threshold), first), "done")
+    asks = met.where("word IS NOT NULL").select(F.col("late").alias("id"), "word").distinct().join(done, "id", "left_anti")
+    asks = materialize(asks, "asks")
+    drop_materialized(met)
+    if not asks.limit(1).count():
         return done
+    sets = asks.select("id").distinct()
+    again = filter_of(sets)
+    met = materialize(meetings(prefix_postings(docs, rank, buckets, threshold, filter_of(asks.select("word"))), buckets, threshold, again), "met")
+    heavy = met.where("late IS NULL").select(F.col("early").alias("id"), "word", "n", "at", "sig")
     # sizes that reach the threshold lie in the same band or in neighbouring ones
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / threshold) + 1e-9)
     a = heavy.select("word", band.alias("band"), *[F.col(x).alias(f"a_{x}") for x in ("id", "n", "at", "sig")])
-    b = rest.select("word", F.explode(F.array(band - 1, band, band + 1)).alias("band"), *[F.col(x).alias(f"b_{x}") for x in ("id", "n", "at", "sig")])
-    more = a.join(b, ["word", "band"]).where((F.col("a_id") != F.col("b_id")) & passes(threshold))
-    more = more.select(F.least("a_id", "b_id").alias("early"), F.greatest("a_id", "b_id").alias("late"))
+    b = heavy.join(sets, "id", "left_semi").select("word", F.explode(F.array(band - 1, band, band + 1)).alias("band"), *[F.col(x).alias(f"b_{x}") for x in ("id", "n", "at", "sig")])
+    more = a.join(b, ["word", "band"]).where((F.col("a_id") != F.col("b_id")) & passes(threshold)).select(F.col("a_id").alias("early"), F.col("b_id").alias("late"))
+    more = more.union(met.where("late IS NOT NULL").select("early", "late"))
     out = materialize(done.union(later(verified(docs, more, threshold), first)).distinct(), "repeats")
     drop_materialized(met)
     return out

@@ -229,7 +229,7 @@ def dedup_plainly(docs, threshold=0.8):
     return out
 
 
-@pytest.mark.parametrize("heavy, common, long", [(2, 2, 256), (1024, 2, 8), (1024, 2048, 256), (3, 30, 6)])
+@pytest.mark.parametrize("heavy, common, long", [(2, 2, 256), (1024, 2, 8), (1024, 2048, 256), (3, 30, 6), (12, 9999, 9)])
 def test_line_dedup_is_exact(spark, monkeypatch, heavy, common, long):
     for name, value in (("HEAVY", heavy), ("COMMON", common), ("LONG", long)):
         monkeypatch.setattr(linededup, name, value)
