@@ -5,11 +5,21 @@ folded in A-Z, everything that is no letter a blank); a linear layer and a softm
 the language. Embeddings and layer are fitted by stochastic gradient descent in numpy on
 a bounded sample of labelled rows; prediction reads every whole text.
 
+Beside the languages the softmax has a class of texts in none of them, learned from sample
+texts whose letters are replaced by a random substitution each. A prediction names the best
+language; its score is that language's probability among all classes, so foreign and junk
+texts score low.
+
 The sample: documents whose crc32 of the id, as text, leaves a remainder other than 1 on
 division by 3, with a language, and at most ``max_chars`` long; from each language about
 ``per_lang`` rows, or an equal part of ``max_rows`` if those are too many, by a hash of id and text. A part of it is kept from the
 descent to calibrate: the temperature that gives the smallest loss, and the score below
-which a prediction is rejected (a quantile of the scores of right predictions).
+which a prediction is rejected: the ``reject`` quantile (0.001) of the scores of right
+predictions on whole texts and short pieces, the share of them that the rejection costs (no
+right prediction: 0).
+
+A prediction depends on the row's text alone: equal texts get equal rows, whatever stands
+beside them; repeated rows and ids are predicted one by one.
 
 Null text and text without a letter: ``und``, score 0, rejected. Null id: not held out and
 not in the sample. Without any labelled row every text is ``und``. Empty table: no rows.
@@ -25,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from chronolake.llm.textbytes import chunks
+from chronolake.runtime import ship
 
 UND = "und"
 BUCKETS = 1 << 16
@@ -66,19 +77,35 @@ def grams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(ids), np.concatenate(at)
 
 
+def padded(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows with a blank before and three after each, so that no n-gram holds letters of two; and where each begins with its blank."""
+    blanks = np.full(len(rows), 4)
+    blanks[0], blanks[-1] = 1, 3
+    return np.insert(data, np.repeat(rows, blanks), 32), rows[:-1] + 4 * np.arange(len(rows) - 1)
+
+
 def bag(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a text and their shares."""
-    ids, _ = grams(data)
+    ids, _ = grams(padded(data, np.array([0, len(data)]))[0])
     found, n = np.unique(ids, return_counts=True)
     return found, (n / max(1, len(ids))).astype(np.float32)
 
 
+def disguised(data: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """A text of no language: letters a-z and bytes outside ASCII replaced by a random substitution."""
+    table = np.arange(256, dtype=np.uint8)
+    table[97:123] = rng.permutation(table[97:123])
+    table[128:192] = rng.permutation(table[128:192])
+    return table[FOLD[data]]
+
+
 def fit(texts: list[str], labels: list[str], dim: int = 16, epochs: int = 5, rate: float = 8.0, reject: float = 0.001, seed: int = 5) -> Model:
     """Fits embeddings, layer, temperature and threshold. Texts without n-grams are left out."""
     langs = sorted(set(labels))
     if not langs:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), 1.0, 1.0)
     index = {x: i for i, x in enumerate(langs)}
+    classes = len(langs) + 1
     rng = np.random.default_rng(seed)
     rows = []
     for text, label in zip(texts, labels):
@@ -88,17 +115,20 @@ def fit(texts: list[str], labels: list[str], dim: int = 16, epochs: int = 5, rat
             continue
         # a short piece as well, so that short texts are met in training
         start = int(rng.integers(0, max(1, len(data) - 80)))
-        rows.append((index[label], whole, bag(data[start : start + int(rng.integers(20, 80))])))
+        piece = data[start : start + int(rng.integers(20, 80))]
+        rows.append((index[label], whole, bag(piece)))
+        if rng.random() < 1 / len(langs):
+            rows.append((len(langs), bag(disguised(data, rng)), bag(disguised(piece, rng))))
     if not rows:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), 1.0, 1.0)
     order = rng.permutation(len(rows))
     held = max(1, len(rows) // 5) if len(rows) > 4 else 0
     check, train = [rows[i] for i in order[:held]], [rows[i] for i in order[held:]]
-    share = np.bincount([r[0] for r in train], minlength=len(langs)).astype(np.float32)
-    weight = np.minimum(4.0, share.sum() / np.maximum(share, 1) / len(langs)).astype(np.float32)
+    share = np.bincount([r[0] for r in train], minlength=classes).astype(np.float32)
+    weight = np.minimum(4.0, share.sum() / np.maximum(share, 1) / classes).astype(np.float32)
     emb = rng.uniform(-1 / dim, 1 / dim, (BUCKETS, dim)).astype(np.float32)
-    layer = rng.normal(0, 0.3, (dim, len(langs))).astype(np.float32)
-    bias = np.zeros(len(langs), np.float32)
+    layer = rng.normal(0, 0.3, (dim, classes)).astype(np.float32)
+    bias = np.zeros(classes, np.float32)
     steps, done = epochs * len(train) * 2, 0
     for _ in range(epochs):
         for i in rng.permutation(len(train)):
@@ -134,15 +164,15 @@ def fit(texts: list[str], labels: list[str], dim: int = 16, epochs: int = 5, rat
     temperature = min(loss, key=lambda t: (round(loss[t], 9), t))
     best, pick = scores(z, temperature)
     right = best[pick == y]
-    threshold = float(np.quantile(right, reject)) * 0.5 if len(right) else 1.0
-    return Model(langs, table, bias, temperature, min(threshold, 1 / len(langs) + 0.25))
+    return Model(langs, table, bias, temperature, float(np.quantile(right, reject)) if len(right) else 0.0)
 
 
 def scores(z: np.ndarray, temperature: float) -> tuple[np.ndarray, np.ndarray]:
+    """Probability of the best language, and which it is; the last class is no language."""
     s = z / temperature
     s = np.exp(s - s.max(axis=1, keepdims=True))
     s /= s.sum(axis=1, keepdims=True)
-    return s.max(axis=1), s.argmax(axis=1)
+    return s[:, :-1].max(axis=1), s[:, :-1].argmax(axis=1)
 
 
 def held_out(docs: DataFrame) -> DataFrame:
@@ -185,21 +215,16 @@ def predict_chunk(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[
     best, pick = np.zeros(n), np.full(n, -1)
     if not model.langs or not n:
         return best, pick
-    total = np.zeros((n, len(model.langs)))
+    total = np.zeros((n, len(model.bias)))
     seen = np.zeros(n)
     for a in range(0, n, 256):
         b = min(n, a + 256)
-        base = offsets[a]
-        # a blank after each row keeps n-grams from crossing rows
-        rows = offsets[a : b + 1] - base
-        spaced = np.insert(data[base : offsets[b]], np.repeat(rows[1:-1], 3), 32) if b - a > 1 else data[base : offsets[b]]
-        first = rows[:-1] + 3 * np.arange(b - a)
-        for part in (ORDERS,):
-            ids, at = grams(spaced)
-            row = np.searchsorted(first, at, "right") - 1
-            for j in range(len(model.langs)):
-                total[a:b, j] += np.bincount(row, weights=model.table[:, j][ids], minlength=b - a)
-            seen[a:b] += np.bincount(row, minlength=b - a)
+        spaced, first = padded(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        ids, at = grams(spaced)
+        row = np.searchsorted(first, at, "right") - 1
+        for j in range(len(model.bias)):
+            total[a:b, j] += np.bincount(row, weights=model.table[:, j][ids], minlength=b - a)
+        seen[a:b] += np.bincount(row, minlength=b - a)
     letter = np.zeros(n, bool)
     ascii_letter = np.concatenate([[0], np.cumsum((FOLD[data] != 32) & (data < 128))])
     letter |= ascii_letter[offsets[1:]] > ascii_letter[offsets[:-1]]
@@ -212,8 +237,10 @@ def predict_chunk(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[
     return best, pick
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """``keep`` columns with lang_pred, score and rejected for every row of ``docs``."""
+def predict(docs: DataFrame, model: Model, keep: list[str], kept_only: bool = False) -> DataFrame:
+    """``keep`` columns with lang_pred, score and rejected for every row of ``docs``; or ``keep`` alone of the rows that are not rejected."""
+    ship(docs.sparkSession)
+    own = ["lang_pred", "score", "rejected"]
     slim = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col("text").alias("text"))
     schema = slim.drop("text").schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
 
@@ -225,7 +252,10 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                 no = (pick < 0) | (best < model.threshold)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(names[pick], pa.string()), pa.array(best), pa.array(no)], names=schema.names)
 
-    return slim.mapInArrow(each, schema).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score", "rejected")
+    out = slim.mapInArrow(each, schema)
+    if kept_only:
+        return out.where("NOT rejected").select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)])
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *own)
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -235,9 +265,5 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose language the model does not reject, unchanged."""
-    model = train(docs)
-    cols = docs.columns
-    out = predict(docs, model, cols) if "rejected" not in cols else predict(docs.withColumnRenamed("rejected", "__r"), model, ["__r" if c == "rejected" else c for c in cols])
-    kept = out.where(~out["rejected"])
-    return kept.select(*[F.col("__r" if c == "rejected" and "__r" in kept.columns else c).alias(c) for c in cols])
+    """The rows of ``docs`` whose language the model does not reject, unchanged; columns may have any names, repeated rows stay."""
+    return predict(docs, train(docs), docs.columns, kept_only=True)

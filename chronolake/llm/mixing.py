@@ -21,6 +21,7 @@ from chronolake.runtime import materialize, width
 
 SOURCES = 10_000
 BITS = 52
+PART = 64 << 20
 WHOLE = 500.0  # exp(-rate) stays far from underflow
 
 
@@ -48,7 +49,7 @@ def draws(key: Column | str, rate: Column, salt: str) -> Column:
 
 
 def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, other: float = 0.0, epochs: float = 1.0) -> DataFrame:
-    """(source, rate): one row a source, from the characters of all documents."""
+    """(source, chars, rate): one row a source, from the characters of all documents."""
     per = docs.groupBy("source").agg(F.sum(F.coalesce(F.length("text"), F.lit(0)).cast("long")).alias("chars"))
     if weights is None:
         want = F.sqrt(F.col("chars").cast("double"))
@@ -62,13 +63,12 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, other
     share = F.try_divide(F.col("want"), F.col("all_want"))
     rate = F.when(F.col("chars") > 0, F.coalesce(share * epochs * F.col("all_chars") / F.col("chars"), F.lit(0.0))).otherwise(F.lit(float(epochs)))
     # both sides come from one row a source
-    return per.join(F.broadcast(total)).select("source", rate.alias("rate"))
+    return per.join(F.broadcast(total)).select("source", "chars", rate.alias("rate"))
 
 
 def with_rates(docs: DataFrame, table: DataFrame, salts: int = 64) -> DataFrame:
     """``docs`` with the rate of the source: a broadcast behind a check of its rows, else a salted join."""
     table = table.select(F.col("source").alias("__source"), F.col("rate").alias("__rate"))
-    table = materialize(table, "rates")
     if table.limit(SOURCES + 1).count() <= SOURCES:
         return docs.join(F.broadcast(table), docs["source"].eqNullSafe(table["__source"]), "left").drop("__source")
     many = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -77,19 +77,29 @@ def with_rates(docs: DataFrame, table: DataFrame, salts: int = 64) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, other: float = 0.0, epochs: float = 1.0, seed: int = 11) -> DataFrame:
-    """All columns of ``docs`` with ``copy`` (0..) and ``position`` (the shuffle's key), shuffled globally."""
-    rated = with_rates(docs, rates(docs, weights, other, epochs))
+    """All columns of ``docs`` with ``copy`` (0..) and ``position`` (the shuffle's key), shuffled globally.
+
+    Positions are even in [0, 1): partition i of n has those from i / n to (i + 1) / n, sorted,
+    so the order is the same however many partitions there are. A partition has about
+    ``PART`` bytes. Columns of these two names in ``docs`` are replaced; ``mix_documents`` keeps them.
+    """
+    spark = docs.sparkSession
+    found = materialize(rates(docs, weights, other, epochs), "rates")
+    rated = with_rates(docs, found)
     drawn = rated.withColumn("__n", draws("doc_id", F.col("__rate"), f"n{seed}")).where("__n > 0")
     copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
-    placed = copies.withColumn("position", unit("doc_id", "copy", salt=f"p{seed}"))
-    return placed.drop("__n", "__rate").repartition(width(docs.sparkSession), "position").sortWithinPartitions("position")
+    placed = copies.withColumn("position", unit("doc_id", "copy", salt=f"p{seed}")).drop("__n", "__rate")
+    expected = found.agg(F.sum(F.col("rate") * F.col("chars"))).first()[0] or 0.0
+    parts = max(width(spark), int(expected // PART) + 1)
+    return placed.repartitionById(parts, F.floor(F.col("position") * parts).cast("int")).sortWithinPartitions("position", "doc_id", "copy")
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The shuffled copies with the columns of ``docs`` alone."""
+    """The shuffled copies with the columns of ``docs`` alone, whatever their names; empty input gives no rows."""
     cols = docs.columns
-    inner = docs.select(*[F.col(c).alias("__" + c if c in ("copy", "position") else c) for c in cols])
-    return mix(inner, **options).select(*[F.col("__" + c if c in ("copy", "position") else c).alias(c) for c in cols])
+    needed = ("doc_id", "text", "source")
+    inner = docs.select(*[F.col(c).alias(c if c in needed else f"__k{i}") for i, c in enumerate(cols)])
+    return mix(inner, **options).select(*[F.col(c if c in needed else f"__k{i}").alias(c) for i, c in enumerate(cols)])
 
 
 #: DuckDB SQL of the default mix over documents: seed 11, square-root shares, one epoch.

@@ -77,18 +77,20 @@ def permute_int(row: int, n: int, seed: int) -> int:
 def shard(docs: DataFrame, n_shards: int = 40, seed: int = 7, keep: list[str] | None = None) -> DataFrame:
     """One output row for each row of ``docs``: ``keep`` columns, size, text_crc32, row, shard, slot.
 
-    Shard sizes in rows differ by one at most; slots run 0.. without gaps in each shard.
+    Shard sizes in rows differ by one at most; slots run 0.. without gaps in each shard. Of the
+    ``keep`` columns those with the name of an own one give way to it.
     """
     keep = ["doc_id"] if keep is None else keep
     slim = docs.select(
-        *keep,
+        *[F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)],
+        F.col("doc_id").alias("__id"),
         (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16).alias("size"),
         F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).cast("long").alias("text_crc32"),
     )
-    numbered, n = dense_row_numbers(slim, [F.col("doc_id"), F.col("text_crc32"), F.col("size")], "row")
+    numbered, n = dense_row_numbers(slim, [F.col("__id"), F.col("text_crc32"), F.col("size")], "row")
     placed = numbered.withColumn("place", permute("row", max(n, 1), seed))
-    return placed.select(
-        *keep, "size", "text_crc32", "row",
-        (F.col("place") % n_shards).cast("int").alias("shard"),
-        F.expr(f"place DIV {n_shards}").cast("long").alias("slot"),
-    )
+    own = {
+        "size": F.col("size"), "text_crc32": F.col("text_crc32"), "row": F.col("row"),
+        "shard": (F.col("place") % n_shards).cast("int"), "slot": F.expr(f"place DIV {n_shards}").cast("long"),
+    }
+    return placed.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep) if c not in own], *[v.alias(c) for c, v in own.items()])

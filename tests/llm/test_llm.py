@@ -47,7 +47,7 @@ def test_awkward_rows_and_empty_tables(spark, odd, name):
     assert apply(name, spark.createDataFrame([], SCHEMA)).collect() == []
 
 
-@pytest.mark.parametrize("name", [n for n in ALL if n not in ("mixing", "sharding", "fingerprint", "linededup", "simhash", "langid")])
+@pytest.mark.parametrize("name", [n for n in ALL if n not in ("mixing", "sharding", "fingerprint", "linededup", "simhash")])
 def test_equal_texts_get_equal_results(odd, name):
     rows = [tuple(r)[1:] for r in apply(name, odd.where("doc_id = 6")).collect()]
     assert rows[0] == rows[1]
@@ -266,10 +266,28 @@ def test_language_accuracy_and_rejection(spark):
     held = [(r, got[r[0]]) for r in rows[:900] if got[r[0]].held_out]
     assert 200 < len(held) < 400 and np.mean([r[2] == g.lang_pred for r, g in held]) > 0.97
     assert got[901].lang_pred == got[902].lang_pred == "und" and got[903].lang_pred != "und" and got[901].rejected
+    foreign = ["Szybki czytelnik był w domu i poszedł na drugą stronę rzeki z przyjacielem", "qxzv wkjq zzxk vvqp jxkw qqzx kkvj xwqz pqxv zkjw", "Nopea lukija oli talossa ja meni sitten joen toiselle puolelle ystävän kanssa"]
+    model = langid.fit([r[1] for r in rows[:600]], [r[2] for r in rows[:600]])
+    flags = langid.predict(spark.createDataFrame([(i, t) for i, t in enumerate(foreign + [EN, DE] * 3)], "doc_id long, text string"), model, ["doc_id"]).orderBy("doc_id").collect()
+    assert [r.rejected for r in flags] == [True] * 3 + [False] * 6
+    wrongly = [langid.predict_chunk(model, np.frombuffer(r[1].encode(), np.uint8), np.array([0, len(r[1].encode())]))[0][0] < model.threshold for r in rows[600:900]]
+    assert np.mean(wrongly) < 0.02
     none = langid.identify(spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")).first()
     assert none.lang_pred == "und"
 
 
+def test_a_prediction_depends_on_its_text_alone():
+    texts = ["ab", "  x", "Der Haus", "", "The ab", "ab", "é", "12", "ab c"] * 40
+    model = langid.fit([EN, DE] * 20, ["en", "de"] * 20)
+
+    def run(ts):
+        raw = [t.encode() for t in ts]
+        return list(zip(ts, *[x.tolist() for x in langid.predict_chunk(model, np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))]))
+
+    assert run(texts) == run(texts[::-1])[::-1] and len(set(run(texts))) == len(set(texts))
+    assert [run([t])[0] for t in texts[:9]] == run(texts)[:9]
+
+
 def test_rare_languages_are_sampled(spark, monkeypatch):
     sizes = {f"l{i}": 2000 for i in range(7)} | {"rare": 60}
     rows = [(i, f"{lang} text {i}", lang) for i, lang in enumerate(x for x, n in sizes.items() for _ in range(n))]
@@ -498,6 +516,21 @@ def test_pipeline_stages(spark, odd, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == got.count()
 
 
+def test_pipeline_keeps_clashing_columns_and_empty_tables(spark, odd, tmp_path):
+    names = ["score", "lang_pred", "rejected", "size", "row", "shard", "slot", "copy", "position", "__h", "fp", "group", "key", "k0"]
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    spark.createDataFrame([(1, "no such passage in here")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for frame in (docs, docs.limit(0)):
+        got = frame
+        for name, stage in corpus_pipeline.STAGES:
+            got = stage(spark, got, str(tmp_path))
+            rows = got.collect()
+            if name != "feistel_sharding":
+                assert got.columns == docs.columns and all(r[n] == i for r in rows for i, n in enumerate(names))
+            assert bool(rows) == (frame is docs)
+            got = spark.createDataFrame(rows, got.schema)
+
+
 def test_registered_queries():
     assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
     assert set(queries.ORACLES) <= set(queries.QUERIES)
