@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from chronolake.llm.simhash import apart
 from chronolake.runtime import materialize, width
 
 SOURCES = 10_000
@@ -97,9 +98,8 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, other:
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The shuffled copies with the columns of ``docs`` alone, whatever their names; empty input gives no rows."""
     cols = docs.columns
-    needed = ("doc_id", "text", "source")
-    inner = docs.select(*[F.col(c).alias(c if c in needed else f"__k{i}") for i, c in enumerate(cols)])
-    return mix(inner, **options).select(*[F.col(c if c in needed else f"__k{i}").alias(c) for i, c in enumerate(cols)])
+    inner = apart(docs, ("doc_id", "text", "source"))
+    return mix(inner, **options).select(*inner.columns).toDF(*cols)
 
 
 #: DuckDB SQL of the default mix over documents: seed 11, square-root shares, one epoch.

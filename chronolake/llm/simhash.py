@@ -149,8 +149,14 @@ def keep_one(docs: DataFrame, k: int = 4, radius: int = 4) -> DataFrame:
     Of several rows with that id the smallest text hash decides; of rows equal in both one
     stays. The choice is made on ids and hashes, so texts are shuffled once.
     """
-    prints = materialize(fingerprints(docs.withColumn("__h", F.xxhash64("text")), k, keep=["doc_id", "__h"]), "prints")
-    return one_of_each(docs, prints.join(groups(prints, "doc_id", radius).select("fp", "group"), "fp"))
+    inner = apart(docs)
+    prints = materialize(fingerprints(inner.withColumn("__h", F.xxhash64("text")), k, keep=["doc_id", "__h"]), "prints")
+    return one_of_each(inner, prints.join(groups(prints, "doc_id", radius).select("fp", "group"), "fp")).toDF(*docs.columns)
+
+
+def apart(docs: DataFrame, needed: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+    """``docs`` with other names for all columns but ``needed``, so that none clashes with an operator's own."""
+    return docs.select(*[F.col(c).alias(c if c in needed else f"__k{i}") for i, c in enumerate(docs.columns)])
 
 
 def one_of_each(docs: DataFrame, whole: DataFrame) -> DataFrame:
