@@ -8,14 +8,17 @@ the sum of larger counts, is at least ``THRESHOLD``.
 
 Windows that can reach the threshold hold many shingles of some item; a count of those
 along the document (exact, from one table look-up a shingle) leaves the windows to
-fingerprint. A window's 64-bit SimHash is cut in ``BLOCKS`` blocks; an item within
-``RADIUS`` bits agrees with it in one block but for ``RADIUS // BLOCKS`` bits, so tables of
-those balls give every item within the radius. Whole distances and then exact likeness
-verify. The radius is five standard deviations beyond the expected distance at the
-threshold.
+fingerprint. A window's SimHash has 256 bits in ``BLOCKS`` blocks of 8. Two fingerprints
+within ``RADIUS`` bits differ by at most ``BALL`` bits in at least ``AGREE`` blocks, whatever
+the place of the bits; tables of those balls vote for the items, and a pair of unrelated
+fingerprints gets that many votes about five times in 10,000. Whole distances and then
+exact likeness verify. The radius is four standard deviations beyond the expected distance
+at the threshold (39 and 5.7 bits), so one window in some 30,000 right at it is missed.
 
 Items go to the executors in blocks of at most ``ITEMS`` rows, one pass over the documents a
-block. Null or wordless documents and items match nothing; repeated items match each.
+block. Null or wordless documents and items match nothing; repeated items match each;
+repeated documents are found each by itself. Of windows of equal likeness the first is named.
+No documents or no items: no matches, and every document is clean. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,12 +32,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from chronolake.llm.textbytes import LOWER_WORD, chunks, shingle_hashes, word_bounds, word_hashes
+from chronolake.llm.textbytes import LOWER_WORD, chunks, mix, shingle_hashes, word_bounds, word_hashes
+from chronolake.runtime import ship
 
 K = 5
 THRESHOLD = 0.8
-RADIUS = 24
-BLOCKS = 8
+RADIUS = 62
+BLOCKS = 32
+BALL = 2
+AGREE = BLOCKS - RADIUS // (BALL + 1)
 ITEMS = 20_000
 FILTER = 1 << 20
 
@@ -45,21 +51,23 @@ class Index:
 
     shingles: dict[int, np.ndarray] = field(default_factory=dict)  # shingle size: sorted hashes
     table: dict[int, np.ndarray] = field(default_factory=dict)  # shingle size: whether low bits occur
-    items: dict[int, list[tuple[int, dict[int, int], int]]] = field(default_factory=dict)  # words: id, counts, fingerprint
+    items: dict[int, list[tuple[int, dict[int, int], np.ndarray]]] = field(default_factory=dict)  # words: id, counts, fingerprint
     balls: dict[int, np.ndarray] = field(default_factory=dict)  # words: block, byte, item
 
 
 def simhash(hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """SimHash of the runs of ``hashes`` at ``starts``; equal sizes are worked on together."""
-    out = np.zeros(len(starts), np.uint64)
+    """SimHash of the runs of ``hashes`` at ``starts``, one row of ``BLOCKS`` bytes each; equal sizes are worked on together."""
+    out = np.zeros((len(starts), BLOCKS), np.uint8)
+    salts = mix(np.arange(1, BLOCKS // 8 + 1, dtype=np.uint64))
     for size in np.unique(sizes):
         at = np.flatnonzero(sizes == size)
-        for a in range(0, len(at), 4096):
-            some = at[a : a + 4096]
+        step = max(1, (1 << 22) // (int(size) * BLOCKS * 8))
+        for a in range(0, len(at), step):
+            some = at[a : a + step]
             runs = hashes[starts[some][:, None] + np.arange(size)]
-            bits = np.unpackbits(runs.astype("<u8").view(np.uint8).reshape(len(some), size, 8), axis=2, bitorder="little")
-            on = bits.sum(axis=1, dtype=np.int32) * 2 > size
-            out[some] = np.packbits(on, axis=1, bitorder="little").view("<u8").ravel()
+            wide = mix(runs[:, :, None] ^ salts).astype("<u8").view(np.uint8).reshape(len(some), size, BLOCKS)
+            bits = np.unpackbits(wide, axis=2, bitorder="little")
+            out[some] = np.packbits(bits.sum(axis=1, dtype=np.int32) * 2 > size, axis=1, bitorder="little")
     return out
 
 
@@ -79,16 +87,16 @@ def index(items: list[tuple[int, str | None]]) -> Index:
     for item_id, text in items:
         hashes, n = text_shingles(text, K)
         if n:
-            fp = int(simhash(hashes, np.zeros(1, np.int64), np.array([len(hashes)]))[0])
+            fp = simhash(hashes, np.zeros(1, np.int64), np.array([len(hashes)]))[0]
             by_words[n].append((item_id, dict(Counter(hashes.tolist())), fp))
             pools[min(n, K)].update(hashes.tolist())
     for k, pool in pools.items():
         out.shingles[k] = np.array(sorted(pool), np.uint64)
         out.table[k] = np.zeros(FILTER, bool)
         out.table[k][(out.shingles[k] & np.uint64(FILTER - 1)).astype(np.int64)] = True
-    near = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None]) <= RADIUS // BLOCKS
+    near = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None]) <= BALL
     for n, group in by_words.items():
-        fps = np.array([x[2] for x in group], "<u8").view(np.uint8).reshape(-1, 8)
+        fps = np.array([x[2] for x in group])
         out.items[n] = group
         out.balls[n] = np.stack([near[:, fps[:, b]] for b in range(BLOCKS)])
     return out
@@ -148,13 +156,15 @@ def find(ix: Index, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, in
             pair = np.unique(np.stack([begin[fits], length[fits]]), axis=1)
             begin, length = pair[0], pair[1]
             fp = simhash(hashes, begin, length)
-            octets = fp.astype("<u8").view(np.uint8).reshape(-1, 8)
-            near = np.zeros((len(fp), len(group)), bool)
-            for b in range(BLOCKS):
-                near |= ix.balls[n][b][octets[:, b]]
-            for w, i in np.argwhere(near):
+            near = []
+            for w in range(0, len(fp), 64):
+                votes = np.zeros((len(fp[w : w + 64]), len(group)), np.uint8)
+                for block in range(BLOCKS):
+                    votes += ix.balls[n][block][fp[w : w + 64, block]]
+                near += [(w + x, i) for x, i in np.argwhere(votes >= AGREE).tolist()]
+            for w, i in near:
                 item_id, counts, item_fp = group[i]
-                if int(fp[w]).__xor__(item_fp).bit_count() > RADIUS:
+                if np.bitwise_count(fp[w] ^ item_fp).sum() > RADIUS:
                     continue
                 like = likeness(hashes[begin[w] : begin[w] + length[w]], counts)
                 if like >= THRESHOLD:
@@ -177,6 +187,7 @@ def blocks_of(benchmark: DataFrame) -> Iterator[Index]:
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, similarity and first_word of the best window of each matching pair."""
+    ship(docs.sparkSession)
     slim = docs.select("doc_id", "text")
     schema = slim.select("doc_id").schema.add("item_id", benchmark.schema["item_id"].dataType).add("similarity", "double").add("first_word", "long")
 
@@ -196,6 +207,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no benchmark item is found, unchanged; no shuffle."""
+    ship(docs.sparkSession)
     cols = docs.columns
     for ix in blocks_of(benchmark):
         slim = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(cols)])

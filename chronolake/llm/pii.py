@@ -11,7 +11,7 @@ candidates become spans.
 The base kinds are regex matches, leftmost and without overlap inside a kind; failing
 matches are dropped and not retried. They are spans always; the method adds others.
 
-Positions are code points, ends exclusive. Null and empty texts have no spans; repeated
+Positions are code points, ends exclusive. Texts are read in linear time, however long. Null and empty texts have no spans; repeated
 rows are scanned alike. Patterns are counted over all documents; their number is bounded by
 the labelers and kinds. Empty table: no rows.
 """
@@ -20,20 +20,24 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from chronolake.runtime import materialize
+from chronolake.runtime import drop_materialized, materialize, ship
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "phone_local", "email_masked", "ssn", "iban", "mac", "person")
 
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+# a whole run of local characters or digits is read once, with its rest if there is one: a start inside
+# the run needs the same rest, so these find the leftmost matches in linear time
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]++(@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++)?")
+IP = re.compile(r"[0-9]++((?:\.[0-9]++){3})?")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 
@@ -43,7 +47,8 @@ WIDE = {
     "iban": re.compile(r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b"),
     "mac": re.compile(r"(?<![0-9A-Fa-f:-])[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}(?![0-9A-Fa-f:-])"),
 }
-MASKED = re.compile(r"[A-Za-z0-9._%+-]{2,40}\s*[\[(]\s*at\s*[\])]\s*[A-Za-z0-9-]{2,40}(?:\s*[\[(]\s*dot\s*[\])]\s*|\.)[A-Za-z]{2,10}", re.I)
+AT = re.compile(r"[\[(]\s{0,3}at\s{0,3}[\])]", re.I)
+MASKED = re.compile(r"[A-Za-z0-9._%+-]{2,40}\s{0,3}[\[(]\s{0,3}at\s{0,3}[\])]\s{0,3}[A-Za-z0-9-]{2,40}(?:\s{0,3}[\[(]\s{0,3}dot\s{0,3}[\])]\s{0,3}|\.)[A-Za-z]{2,10}", re.I)
 #: Given names of the gazetteer.
 NAMES = (
     "James Mary John Patricia Robert Jennifer Michael Linda William Elizabeth David Barbara Richard Susan Joseph Jessica Thomas Sarah Charles Karen "
@@ -107,9 +112,9 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     """The matches of the base kinds."""
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in BASE}
     if "@" in text:
-        out["email"] = [m.span() for m in EMAIL.finditer(text)]
+        out["email"] = [m.span() for m in EMAIL.finditer(text) if m[1]]
     if DIGIT.search(text):
-        out["ip"] = [m.span() for m in IP.finditer(text) if good_ip(m[0])]
+        out["ip"] = [m.span() for m in IP.finditer(text) if m[1] and good_ip(m[0])]
         out["card"] = [m.span() for m in CARD.finditer(text) if good_card(m[0])]
         if "+" in text:
             out["phone"] = [m.span() for m in PHONE.finditer(text) if good_phone(m[0])]
@@ -124,15 +129,20 @@ def candidates(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[
             found += [(kind, *m.span()) for m in rx.finditer(text)]
         # numbers of a card's or an address's form that fail the strict test
         found += [("card", *m.span()) for m in CARD.finditer(text) if 13 <= len(only_digits(m[0])) <= 19 and not good_card(m[0])]
-        found += [("ip", *m.span()) for m in IP.finditer(text) if not good_ip(m[0])]
-    low = text.lower()
-    if "[at]" in low or "(at)" in low or "[ at ]" in low or "( at )" in low:
+        found += [("ip", *m.span()) for m in IP.finditer(text) if m[1] and not good_ip(m[0])]
+    if AT.search(text):
         found += [("email_masked", *m.span()) for m in MASKED.finditer(text)]
     found += [("person", *m.span()) for m in PERSON.finditer(text)]
-    sure = [s for k in BASE for s in base[k]]
+    sure = {(k, *s) for k in BASE for s in base[k]}
+    starts = sorted((a, b) for _, a, b in sure)
+    reach = list(accumulate((b for _, b in starts), max))
+
+    def inside(a: int, b: int) -> bool:
+        i = bisect_right(starts, (a, len(text)))
+        return i > 0 and reach[i - 1] >= b
+
     # what lies inside a base span is that span
-    found = [(k, a, b) for k, a, b in found if k in BASE and (a, b) in base[k] or not any(x <= a and b <= y for x, y in sure)]
-    return [(k, a, b, pattern(text, k, a, b, k in BASE and (a, b) in base[k])) for k, a, b in found]
+    return [(k, a, b, pattern(text, k, a, b, (k, a, b) in sure)) for k, a, b in found if (k, a, b) in sure or not inside(a, b)]
 
 
 def pattern(text: str, kind: str, start: int, end: int, strict: bool) -> str:
@@ -261,6 +271,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def find(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """Counts and digest of the base kinds, all spans, and how many the method added, for each row of ``docs``."""
+    ship(docs.sparkSession)
     scanned = materialize(scan(docs), "pii")
     rows = scanned.select(F.explode("patterns").alias("p")).groupBy("p").count().collect()  # bounded by kinds, votes and shapes
     counts = {r[0]: r[1] for r in rows}

@@ -8,8 +8,8 @@ texts are verified with the regex. Rules without a mandatory trigram scan all te
 
 Matches are leftmost and do not overlap inside a kind; matches shorter than the rule's least
 length are dropped and not retried. Spans are in code points, ends exclusive. Null and
-empty texts have no spans. Documents that share an id, or have none, share their candidates
-and are verified one by one, so each row gets its own result. Empty table: no rows.
+empty texts have no spans. Rows equal in id and text share their postings and are verified
+one by one, so each row gets its own result. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -141,8 +141,8 @@ def index_terms(rules: tuple[Rule, ...] = RULES) -> list[str]:
 
 
 def doc_key() -> Column:
-    """Documents without an id share a key; sharing costs verification, never a result."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    """A hash of id and text: only rows equal in both share a key for sure; sharing costs verification, never a result."""
+    return F.xxhash64("doc_id", "text")
 
 
 def postings(docs: DataFrame, terms: list[str]) -> DataFrame:

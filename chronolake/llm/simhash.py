@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from chronolake.llm.textbytes import chunks
 from chronolake.operators.graph import connected_components
-from chronolake.runtime import materialize
+from chronolake.runtime import materialize, ship
 
 SEED = 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit and length
@@ -64,6 +64,7 @@ def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, k: int = 4, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns of ``docs`` and ``fp``, the 64-bit fingerprint of the text as a long."""
+    ship(docs.sparkSession)
     keep = ["doc_id"] if keep is None else keep
     slim = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).alias("text"))
     schema = slim.drop("text").schema.add("fp", "long")
@@ -115,7 +116,9 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
         ones = F.array(*[F.lit(1 << j).cast("long") for j in range(bits)])
         key = cut(F.col("fp"), i)
         ball = F.transform(F.filter(ones, lambda b: key.bitwiseAND(b) == 0), lambda b: key.bitwiseOR(b))
-        balls.append(in_segment(F.concat(F.array(key), ball), i))
+        # what a bucket's leader links needs no pair inside the bucket: only the others ask there
+        here = F.when(F.col(f"l{i}").isNull(), F.array(key)).otherwise(F.array().cast("array<long>"))
+        balls.append(in_segment(F.concat(here, ball), i))
     probe = table.select("fp", *leads, F.explode(F.concat(*balls)).alias("p")).select("fp", *leads, F.col("p.seg").alias("seg"), F.col("p.key").alias("key"))
     met = probe.join(index, ["seg", "key"]).where(far("fp", "b") <= radius)
     shares = F.lit(False)
@@ -139,7 +142,8 @@ def groups(prints: DataFrame, ids: str = "doc_id", radius: int = 4) -> DataFrame
 def near_duplicates(docs: DataFrame, k: int = 4, radius: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every document."""
     prints = materialize(fingerprints(docs, k), "prints")
-    labelled = prints.join(groups(prints, "doc_id", radius), "fp")
+    # written first, so that a fingerprint of very many documents can be split in the join
+    labelled = prints.join(materialize(groups(prints, "doc_id", radius), "groups"), "fp")
     return labelled.select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
@@ -151,7 +155,7 @@ def keep_one(docs: DataFrame, k: int = 4, radius: int = 4) -> DataFrame:
     """
     inner = apart(docs)
     prints = materialize(fingerprints(inner.withColumn("__h", F.xxhash64("text")), k, keep=["doc_id", "__h"]), "prints")
-    return one_of_each(inner, prints.join(groups(prints, "doc_id", radius).select("fp", "group"), "fp")).toDF(*docs.columns)
+    return one_of_each(inner, prints.join(materialize(groups(prints, "doc_id", radius).select("fp", "group"), "groups"), "fp")).toDF(*docs.columns)
 
 
 def apart(docs: DataFrame, needed: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:

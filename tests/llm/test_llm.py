@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -136,6 +137,27 @@ def test_every_license_rule_passes_the_gates(spark):
     assert [got[i] for i in range(-1, -6, -1)] == [["bsd-3"], ["mpl-2"], ["public-domain"], ["proprietary"], ["mit-0"]]
 
 
+def license_labels(text):
+    words = re.findall(licenses.WORDS, re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    norm = " " + " ".join(words) + " "
+    found = [(m.start(), m.end(), p, i, label) for i, (label, p, _, rx) in enumerate(licenses.rules()) for m in re.finditer(rx, norm, re.A)]
+    kept = [x for x in found if not any(y[0] <= x[0] and y[1] >= x[1] and (y[2] > x[2] or y[2] == x[2] and (y[1] - y[0] > x[1] - x[0] or y[:2] == x[:2] and y[3] < x[3])) for y in found)]
+    places = {label: [norm[: m.start() + 1].count(" ") - 1 for m in re.finditer(f"(?= {phrase} )", norm)] for phrase, label in licenses.BASE}
+    at = sorted(p for ps in places.values() for p in ps)
+    labels = {x[4] for x in kept} | {k for k, ps in places.items() if ps}
+    return len(words), len(at), at[0] if at else None, at[-1] if at else None, ",".join(sorted(k for k, ps in places.items() if ps)), ",".join(sorted(labels))
+
+
+def test_licenses_are_a_plain_scan(spark):
+    rng = np.random.default_rng(12)
+    parts = [x for line in licenses.SIGNATURES.strip().splitlines() for x in re.sub(r"\\b|[()?\\]", " ", line.split("; ", 3)[3]).split(" ;; ")]
+    parts += [p for p, _ in licenses.BASE] * 8 + ["of", "the", "license", "version 2", "é", "mit", "gpl"] * 5
+    texts = [rng.choice(["{} {}", "{}. {}", "{}\n{}"]).format(*rng.choice(parts, 2)).title() + " " + " ".join(rng.choice(parts, int(rng.integers(0, 5)))) for _ in range(250)] + [None, "", "--"]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in got:
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels) == license_labels(texts[r.doc_id]), texts[r.doc_id]
+
+
 # ---- secrets
 
 
@@ -207,6 +229,47 @@ def test_base_spans_and_added_kinds(spark):
     assert rows[5].spans.startswith("phone_local") and rows[6].spans.startswith("ssn") and rows[7].spans.startswith("email_masked")
 
 
+def personal_spans(t):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+    digits = lambda x: re.sub("[^0-9]", "", x)
+    luhn = lambda d: sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+    out += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 13 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
+    return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(digits(m[0])) <= 15]
+
+
+def test_base_spans_are_a_plain_scan(spark):
+    rng = np.random.default_rng(9)
+    pieces = ["a", "b_c", "@", "x.y", ".", "-", "1", "255", "256", "10.0.0.1", "4111 1111 1111 1111", "4111-1111", "+1 ", "(689) 555-4072", " ", "é😀", "+", "%", "00", "@m.de", "%q@z.org", "5500000000000004"]
+    texts = ["".join(rng.choice(pieces, int(rng.integers(0, 16)))) for _ in range(1500)] + [None, ""]
+    got = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in got:
+        want = personal_spans(texts[r.doc_id] or "")
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest(), texts[r.doc_id]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for x, _, _ in want) for k in pii.BASE]
+
+
+def test_long_runs_take_linear_time():
+    start = time.time()
+    for text in ("7" * 1_000_000, "a" * 1_000_000 + "@", "1." * 300_000, "+1" + "(" * 500_000, "a@" * 200_000, "x (at) " * 50_000):
+        pii.candidates(text, pii.base_spans(text))
+    assert time.time() - start < 60
+
+
+def test_added_kinds_are_caught(spark):
+    rng = np.random.default_rng(10)
+    fill = lambda: " ".join(rng.choice(EN.split(), 12))
+    made = {
+        "phone_local": lambda: f"call us: 6{rng.integers(10, 99)}-5{rng.integers(10, 99)}-{rng.integers(1000, 9999)}",
+        "ssn": lambda: f"social security {rng.integers(100, 600)}-{rng.integers(10, 99)}-{rng.integers(1000, 9999)}",
+        "email_masked": lambda: f"write to joe{rng.integers(0, 99)} [at ] mail [dot] com",
+        "mac": lambda: "device " + ":".join(f"{x:02x}" for x in rng.integers(0, 256, 6)),
+    }
+    rows = [(i, f"{fill()} {made[k]()} {fill()}", k) for i in range(80) for k in [list(made)[i % 4]]] + [(100 + i, f"order page 555-12{i:02d} of {fill()}", None) for i in range(20)]
+    got = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string, kind string")).collect()}
+    assert np.mean([k in got[i] for i, _, k in rows if k]) >= 0.9 and not any(got[i] for i, _, k in rows if not k)
+
+
 def test_em_prefers_the_reliable_labeler():
     counts = {"phone_local|0+0+0+|21": 500, "phone_local|0-000-|21": 500, "phone_local|0+000+|21": 100}
     soft, rel = pii.estimate(counts)
