@@ -20,9 +20,10 @@ join with
 Postings travel as packed blocks, one a bucket of keys and flush, so that the shuffle moves
 few rows; the number of buckets follows the number of words. Inside a key the earliest set
 that no other one is likely to explain leads: the sets that pass the filters with it are
-tried against it alone. A set that no leader explains meets all earlier sets of the key. So
-a group of near copies costs a star and not all its pairs. Sets whose trial fails meet all
-sets of those keys in a second round, so no match is lost. A task reads its bucket in blocks
+tried against it alone. A set that no leader explains meets the earlier sets of the key
+until one passes the filters, and is tried against that one. So a group of near copies costs
+a trial a set and key and not all its pairs. Sets whose trials all fail meet all sets of
+those keys in a second round, so no match is lost. A task reads its bucket in blocks
 and keeps at most ``HEAVY`` postings of a key; of a key with more it keeps a leader, and the
 second round joins its sets by key and band of sizes.
 
@@ -352,6 +353,9 @@ def meetings(blocks: DataFrame, buckets: int, threshold: float, questioned: np.n
         leads = [np.zeros(0, kind) for _, kind in POSTING]  # one posting of each heavy key
         waiting, n = [], 0
 
+        def pairs_of(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            return rows_of(light[4][a], light[4][b], light[0][b] if again is None else None)
+
         def fold() -> Iterator[pa.RecordBatch]:
             nonlocal light, leads
             cols = [np.concatenate([light[i], *[x[i] for x in waiting]]) for i in range(len(POSTING))]
@@ -408,24 +412,29 @@ def meetings(blocks: DataFrame, buckets: int, threshold: float, questioned: np.n
         alive = np.repeat(np.logical_or.reduceat(later_asks, start), run) if len(start) else asks
         need = np.ceil(light[1] * (2 * threshold / (1 + threshold)) - 1e-9)
         near, step = np.flatnonzero(alive & (light[2] < light[1] - need + 1)), 0
-        left, right = [], []
+        early, late = [], []
         while len(near):
             step += 1
             near = near[near + step < len(order)]
             near = near[(light[0][near] == light[0][near + step]) & (light[1][near] >= light[1][near + step] * threshold - 1e-9)]
+            if step % 8 == 0 and len(near):
+                near = near[np.repeat(np.logical_or.reduceat(asks, start), run)[near]]
             for part in range(0, len(near), 1 << 20):
                 a = near[part : part + (1 << 20)]
                 b = a + step
-                ask = (asks[a] & (light[3][a] >= light[3][b])) | (asks[b] & (light[3][b] >= light[3][a]))
-                a, b = a[ask], b[ask]
+                a_asks = asks[a] & (light[3][a] >= light[3][b])
+                ask = a_asks | (asks[b] & (light[3][b] >= light[3][a]))
+                a, b, a_asks = a[ask], b[ask], a_asks[ask]
                 ok = fits([c[a] for c in light], [c[b] for c in light], threshold)
-                left.append(light[4][a[ok]])
-                right.append(light[4][b[ok]])
-            if sum(map(len, left)) > 1 << 20:
-                yield rows_of(np.concatenate(left), np.concatenate(right))
-                left, right = [], []
-        if left:
-            yield rows_of(np.concatenate(left), np.concatenate(right))
+                early.append(np.where(a_asks, b, a)[ok])
+                late.append(np.where(a_asks, a, b)[ok])
+                if again is None:  # one trial a set and key; those that fail ask again
+                    asks[late[-1]] = False
+            if sum(map(len, late)) > 1 << 20:
+                yield pairs_of(np.concatenate(early), np.concatenate(late))
+                early, late = [], []
+        if late:
+            yield pairs_of(np.concatenate(early), np.concatenate(late))
 
     dealt = blocks.repartitionById(buckets, F.col("bucket"))
     return dealt.mapInArrow(each, "early long, late long, word long, n int, at int, sig long")
