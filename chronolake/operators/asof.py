@@ -58,16 +58,24 @@ def nearest(left: DataFrame, right: DataFrame, on: Sequence[str], left_time: str
     return ahead.select(*left.columns, *pick)
 
 
+def tagged(need: DataFrame) -> DataFrame:
+    """The distinct rows of ``need`` with themselves as ``__id`` and how often they occur as ``__n``."""
+    return need.groupBy(*need.columns).agg(F.count(F.lit(1)).alias("__n")).withColumn("__id", F.struct(*need.columns))
+
+
+def repeated(df: DataFrame) -> DataFrame:
+    return df.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))))
+
+
 def freshest_issue(need: DataFrame, issues: DataFrame, on: Sequence[str], decision: str, available: str, issue: str, take: Sequence[str]) -> DataFrame:
     """For each row of ``need`` the freshest issue of its valid time (part of ``on``) that was available at the decision.
 
     An equi-join on keys and valid time bounds the pairs; the largest issue time wins, then the payload.
+    Rows of ``need`` that are equal meet the issues once and come out as often as they went in.
     """
-    cols = need.columns
-    tagged = need.withColumn("__id", F.struct(*cols))
-    pairs = tagged.join(issues, list(on), "left")
+    pairs = tagged(need).join(issues, list(on), "left")
     known = F.when(F.col(available) <= F.col(decision), F.struct(F.col(issue), *[F.col(c) for c in take]))
-    best = pairs.groupBy("__id").agg(F.max(known).alias("__m"))
+    best = repeated(pairs.groupBy("__id", "__n").agg(F.max(known).alias("__m")))
     return best.select("__id.*", F.col(f"__m.{issue}").alias(issue), *[F.col(f"__m.{c}").alias(c) for c in take])
 
 
@@ -76,15 +84,14 @@ def best_source(need: DataFrame, reports: DataFrame, on: Sequence[str], hour: st
 
     Reports are dealt to the two hours whose window they fall in, so the join is on equal hours.
     """
-    cols = need.columns
     floor = F.date_trunc("hour", F.col(valid))
     spread = reports.withColumn("__h", F.explode(F.array(floor, floor + F.expr("INTERVAL 1 HOUR")))).withColumnsRenamed({k: f"__o_{k}" for k in on})
     cond = (F.col(hour) == F.col("__h")) & (F.col(available) <= F.col(decision))
     for k in on:
         cond = cond & (F.col(k) == F.col(f"__o_{k}"))
-    pairs = need.withColumn("__id", F.struct(*cols)).join(spread, cond, "left")
+    pairs = tagged(need).join(spread, cond, "left")
     order = F.struct((-F.col(rank)).alias("r"), F.col(valid).alias("v"), *[F.col(c).alias(c) for c in take])
-    best = pairs.groupBy("__id").agg(F.max(F.when(F.col(rank).isNotNull(), order)).alias("__m"))
+    best = repeated(pairs.groupBy("__id", "__n").agg(F.max(F.when(F.col(rank).isNotNull(), order)).alias("__m")))
     return best.select("__id.*", (-F.col("__m.r")).alias(rank), F.col("__m.v").alias(valid), *[F.col(f"__m.{c}").alias(c) for c in take])
 
 

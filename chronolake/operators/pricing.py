@@ -88,14 +88,20 @@ def capped_shares(df: DataFrame, keys: list[str], order: list[str], want: str, c
     return df.withColumn(name, F.greatest(F.lit(0.0), F.least(F.col(want), F.col(cap) - used)))
 
 
-def positions(fills: DataFrame, keys: list[str]) -> DataFrame:
-    """Open quantity, average price of buys and realised profit of each key from signed fills (qty, price)."""
+def positions(fills: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Open quantity, average price of buys and realised profit of each key from signed fills (qty, price).
+
+    A sale is measured against the average of the buys before it, fill by fill in ``order``;
+    later buys do not change it. Sold before any buy, it counts with the whole price.
+    """
     q, p = F.col("qty"), F.col("price")
-    agg = fills.groupBy(*keys).agg(
-        F.sum(q).alias("open"), F.try_divide(F.sum(F.when(q > 0, q * p)), F.sum(F.when(q > 0, q))).alias("cost"),
-        F.coalesce(F.sum(F.when(q < 0, -q * p)), F.lit(0.0)).alias("proceeds"), F.coalesce(F.sum(F.when(q < 0, -q)), F.lit(0.0)).alias("sold"),
+    so_far = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    bought, paid = F.when(q > 0, q), F.when(q > 0, q * p)
+    cost = F.try_divide(F.sum(paid).over(so_far), F.sum(bought).over(so_far))
+    gain = F.when(q < 0, -q * (p - F.coalesce(cost, F.lit(0.0))))
+    return fills.withColumn("__g", gain).groupBy(*keys).agg(
+        F.sum(q).alias("open"), F.try_divide(F.sum(paid), F.sum(bought)).alias("cost"), F.coalesce(F.sum("__g"), F.lit(0.0)).alias("realised"),
     )
-    return agg.select(*keys, "open", "cost", (F.col("proceeds") - F.col("sold") * F.coalesce("cost", F.lit(0.0))).alias("realised"))
 
 
 def half_spread(mu: Column, alpha: Column) -> Column:

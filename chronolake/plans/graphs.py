@@ -80,19 +80,8 @@ def pair_records(spark: SparkSession, d: str) -> DataFrame:
     return R.pair_table(contests(spark, d), "season", "home", "away", "margin").withColumn("margin", F.round("margin", 4))
 
 
-@query(
-    "schedule_components",
-    """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, -1 - l_partkey AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_partkey % 50 = 0 AND o_custkey % 3 = 0),
-    n AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), r AS (SELECT x, x AS c FROM n UNION SELECT n.y, r.c FROM r JOIN n ON n.x = r.x) SELECT x AS node, min(c) AS component FROM r GROUP BY 1""",
-)
+@query("schedule_components")
 def schedule_components(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").where("o_custkey % 3 = 0").select(F.col("o_orderkey").alias("k"), "o_custkey")
-    li = table(spark, d, "lineitem").where("l_partkey % 50 = 0").select(F.col("l_orderkey").alias("k"), "l_partkey")
-    return connected_components(o.join(li, "k").select(F.col("o_custkey").alias("src"), (-1 - F.col("l_partkey")).alias("dst")))
-
-
-@query("schedule_components_all")
-def schedule_components_all(spark: SparkSession, d: str) -> DataFrame:
     """Components of all orders and lineitems; recursive SQL is too slow for them, so there is none."""
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), "o_custkey")
     li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), "l_partkey")

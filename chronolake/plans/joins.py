@@ -58,27 +58,27 @@ def nearest_within(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ISSUE = """i AS (SELECT user_id, event_id AS issue_id, date_trunc('hour', ts) + INTERVAL 6 HOUR AS valid, ts AS issue, ts + INTERVAL 75 MINUTE AS available, value FROM events WHERE event_type IN ('view', 'click')),
-    n AS (SELECT DISTINCT user_id, date_trunc('hour', ts) AS valid, date_trunc('hour', ts) - INTERVAL 4 HOUR AS decision FROM events)"""
+    n AS (SELECT user_id, date_trunc('hour', ts) AS valid, date_trunc('hour', ts) - INTERVAL 4 HOUR AS decision FROM events)"""
 
 
 @query(
     "asof_tritemporal",
-    f"""WITH {_ISSUE}, p AS (SELECT n.*, i.issue, i.value FROM n JOIN i ON n.user_id = i.user_id AND n.valid = i.valid AND i.available <= n.decision QUALIFY row_number() OVER (PARTITION BY n.user_id, n.valid ORDER BY i.issue DESC) = 1)
+    f"""WITH {_ISSUE}, p AS (SELECT DISTINCT n.user_id, n.valid, i.issue, i.value FROM n JOIN i ON n.user_id = i.user_id AND n.valid = i.valid AND i.available <= n.decision QUALIFY rank() OVER (PARTITION BY n.user_id, n.valid ORDER BY i.issue DESC) = 1)
     SELECT n.user_id, n.valid, p.issue, p.value FROM n LEFT JOIN p ON n.user_id = p.user_id AND n.valid = p.valid""",
 )
 def asof_tritemporal(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     hour = F.date_trunc("hour", "ts").cast("timestamp_ntz")
     issues = e.where(F.col("event_type").isin("view", "click")).select("user_id", (hour + F.expr("INTERVAL 6 HOUR")).alias("valid"), F.col("ts").alias("issue"), (F.col("ts") + F.expr("INTERVAL 75 MINUTE")).alias("available"), "value")
-    need = e.select("user_id", hour.alias("valid"), (hour - F.expr("INTERVAL 4 HOUR")).alias("decision")).distinct()
+    need = e.select("user_id", hour.alias("valid"), (hour - F.expr("INTERVAL 4 HOUR")).alias("decision"))
     return A.freshest_issue(need, issues, ["user_id", "valid"], "decision", "available", "issue", ["value"]).select("user_id", "valid", "issue", "value")
 
 
 @query(
     "asof_priority",
     """WITH r AS (SELECT user_id, ts AS valid, ts + INTERVAL 10 MINUTE AS available, CASE WHEN event_type = 'view' THEN 0 ELSE 1 END AS rnk, value FROM events WHERE event_type <> 'error'),
-    n AS (SELECT DISTINCT user_id, date_trunc('hour', ts) AS hr, date_trunc('hour', ts) + INTERVAL 30 MINUTE AS decision FROM events),
-    p AS (SELECT n.*, r.rnk, r.valid, r.value FROM n JOIN r ON n.user_id = r.user_id AND r.valid >= n.hr - INTERVAL 1 HOUR AND r.valid < n.hr + INTERVAL 1 HOUR AND r.available <= n.decision
+    n AS (SELECT user_id, date_trunc('hour', ts) AS hr, date_trunc('hour', ts) + INTERVAL 30 MINUTE AS decision FROM events),
+    p AS (SELECT n.*, r.rnk, r.valid, r.value FROM (SELECT DISTINCT * FROM n) n JOIN r ON n.user_id = r.user_id AND r.valid >= n.hr - INTERVAL 1 HOUR AND r.valid < n.hr + INTERVAL 1 HOUR AND r.available <= n.decision
       QUALIFY row_number() OVER (PARTITION BY n.user_id, n.hr ORDER BY r.rnk, r.valid DESC, r.value DESC) = 1)
     SELECT n.user_id, n.hr, p.rnk, p.value FROM n LEFT JOIN p ON n.user_id = p.user_id AND n.hr = p.hr""",
 )
@@ -86,7 +86,7 @@ def asof_priority(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     hour = F.date_trunc("hour", "ts").cast("timestamp_ntz")
     reports = e.where("event_type <> 'error'").select("user_id", F.col("ts").alias("valid"), (F.col("ts") + F.expr("INTERVAL 10 MINUTE")).alias("available"), F.when(F.col("event_type") == "view", 0).otherwise(1).alias("rnk"), "value")
-    need = e.select("user_id", hour.alias("hr"), (hour + F.expr("INTERVAL 30 MINUTE")).alias("decision")).distinct()
+    need = e.select("user_id", hour.alias("hr"), (hour + F.expr("INTERVAL 30 MINUTE")).alias("decision"))
     return A.best_source(need, reports, ["user_id"], "hr", "decision", "valid", "available", "rnk", ["value"]).select("user_id", "hr", "rnk", "value")
 
 

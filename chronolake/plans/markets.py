@@ -102,13 +102,14 @@ def capped_sizing(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "position_ledger",
-    """WITH f AS (SELECT user_id, CASE WHEN event_type = 'purchase' THEN -1.0 ELSE 1.0 END AS qty, value AS price FROM events)
+    """WITH f AS (SELECT user_id, ts, event_id, CASE WHEN event_type = 'purchase' THEN -1.0 ELSE 1.0 END AS qty, value AS price FROM events),
+    c AS (SELECT *, sum(qty * price) FILTER (qty > 0) OVER w / sum(qty) FILTER (qty > 0) OVER w AS avg_cost FROM f WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
     SELECT user_id, sum(qty) AS open, round(sum(qty * price) FILTER (qty > 0) / sum(qty) FILTER (qty > 0), 4) AS cost,
-    round(coalesce(sum(-qty * price) FILTER (qty < 0), 0) - coalesce(sum(-qty) FILTER (qty < 0), 0) * coalesce(sum(qty * price) FILTER (qty > 0) / sum(qty) FILTER (qty > 0), 0), 4) AS realised FROM f GROUP BY 1""",
+    round(coalesce(sum(-qty * (price - coalesce(avg_cost, 0))) FILTER (qty < 0), 0), 4) AS realised FROM c GROUP BY 1""",
 )
 def position_ledger(spark: SparkSession, d: str) -> DataFrame:
-    f = table(spark, d, "events").select("user_id", F.when(F.col("event_type") == "purchase", -1.0).otherwise(1.0).alias("qty"), F.col("value").alias("price"))
-    return M.positions(f, ["user_id"]).select("user_id", "open", F.round("cost", 4).alias("cost"), F.round("realised", 4).alias("realised"))
+    f = table(spark, d, "events").select("user_id", "ts", "event_id", F.when(F.col("event_type") == "purchase", -1.0).otherwise(1.0).alias("qty"), F.col("value").alias("price"))
+    return M.positions(f, ["user_id"], ["ts", "event_id"]).select("user_id", "open", F.round("cost", 4).alias("cost"), F.round("realised", 4).alias("realised"))
 
 
 @query("quote_half_spread", f"WITH {_STATE} SELECT s_nationkey, CAST(least(greatest(round_even(1 + 0.4 * sqrt(m + m * m / a), 0), 2), 5) AS INTEGER) AS ticks FROM s")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F, types as T
 
 from chronolake.functions import physics as X, scalar as S
-from chronolake.operators import agg as G, pricing as M, quality as Q, ratings as R
+from chronolake.operators import agg as G, asof, pricing as M, quality as Q, ratings as R, shaping
 from chronolake.operators.graph import connected_components
 from chronolake.operators.order import dense_row_numbers, range_bucket
 from chronolake.sources import scan as C
@@ -159,5 +159,40 @@ def test_schedule_components_of_whole_tables(spark, tmp_path):
         while more := {y for e in edges if set(e) & seen for y in e} - seen:
             seen |= more
         want[node] = min(seen)
-    got = {r.node: r.component for r in registry.QUERIES["schedule_components_all"](spark, str(tmp_path)).collect()}
+    got = {r.node: r.component for r in registry.QUERIES["schedule_components"](spark, str(tmp_path)).collect()}
     assert got == want
+
+
+def test_asof_selections_keep_repeated_rows(spark):
+    need = spark.createDataFrame([(1, 10, 5), (1, 10, 5), (2, 10, 5), (None, 10, 5)], "k int, valid int, decision int")
+    issues = spark.createDataFrame([(1, 10, 3, 4, "a"), (1, 10, 4, 5, "b"), (1, 10, 5, 6, "late")], "k int, valid int, issue int, available int, x string")
+    rows = sorted(asof.freshest_issue(need, issues, ["k", "valid"], "decision", "available", "issue", ["x"]).collect(), key=str)
+    assert sorted((r.k or 0, r.x or "") for r in rows) == [(0, ""), (1, "b"), (1, "b"), (2, "")]
+
+
+def test_components_of_a_schedule_are_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    edges = [(rng.randrange(60), -1 - rng.randrange(60)) for _ in range(45)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == {x: find(x) for x in root}
+
+
+def test_shaping_reads_the_schema(spark):
+    df = spark.createDataFrame([(1, 2.0, 1.0, "x", None), (2, 3.0, None, "y", None)], "home_roll_a int, away_roll_a double, home_roll_b double, s string, home_stat double")
+    assert shaping.select_prefixed(df, ("home_", "away_"), ("stat",), ("s",)).columns == ["s", "home_roll_a", "away_roll_a", "home_roll_b"]
+    assert [c for c in shaping.side_pairs(df).columns if c.startswith(("diff", "sum"))] == ["diff_roll_a", "sum_roll_a"]
+    assert [c for c in shaping.observed_masks(df, ["home_roll_a", "home_roll_b"]).columns if c.endswith("_observed")] == ["home_roll_b_observed"]
+    points = spark.createDataFrame([([0.0, 0.5, 3.0, 3.5, 9.0],)], "p array<double>")
+    assert points.select(shaping.spread_apart(points.p, 1.0, 2, lambda a, b: F.abs(a - b)).alias("o")).first().o == [0.0, 3.0]
