@@ -39,12 +39,12 @@ def fold_recency_mean(spark: SparkSession, d: str) -> DataFrame:
     "blended_members",
     f"""WITH {_E}, k AS (SELECT event_id, CASE WHEN event_id % 5 > 0 THEN p END AS a, CASE WHEN event_id % 7 > 0 THEN m END AS b, CASE WHEN event_id % 3 > 0 THEN (p + m) / 2 END AS c, p * p AS d FROM e),
     w AS (SELECT *, (a IS NULL)::INT + (b IS NULL)::INT + (c IS NULL)::INT AS miss, CASE WHEN a IS NULL THEN 0 ELSE 0.4 END + CASE WHEN b IS NULL THEN 0 ELSE 0.3 END + CASE WHEN c IS NULL THEN 0 ELSE 0.2 END + 0.1 AS t FROM k)
-    SELECT event_id, round(CASE WHEN miss / 4.0 <= 0.3 THEN (coalesce(a, 0) * 0.4 + coalesce(b, 0) * 0.3 + coalesce(c, 0) * 0.2 + d * 0.1) / t END, 10) AS blend FROM w""",
+    SELECT event_id, round(CASE WHEN miss / 4.0 <= 0.3 THEN (coalesce(a, 0) * 0.4 + coalesce(b, 0) * 0.3 + coalesce(c, 0) * 0.2 + d * 0.1) / t END, 13) AS blend FROM w""",
 )
 def blended_members(spark: SparkSession, d: str) -> DataFrame:
     some = lambda n, c: F.when(F.col("event_id") % n > 0, c)
     p, m = F.col("p"), F.col("m")
-    return predictions(spark, d).select("event_id", F.round(C.blended([(some(5, p), 0.4), (some(7, m), 0.3), (some(3, (p + m) / 2), 0.2), (p * p, 0.1)]), 10).alias("blend"))
+    return predictions(spark, d).select("event_id", F.round(C.blended([(some(5, p), 0.4), (some(7, m), 0.3), (some(3, (p + m) / 2), 0.2), (p * p, 0.1)]), 13).alias("blend"))
 
 
 @query("inverted_signal", f"WITH {_E} SELECT event_id, round(CASE WHEN m > 0.51 THEN p WHEN m < 0.49 THEN 1 - p END, 6) AS signal FROM e")
