@@ -10,7 +10,7 @@ or no such cell is found.
 
 If cells remain, the versions are sketched again, larger: the digests are dealt to groups by
 their bits, about ``PER_GROUP`` of both sides a group, and each group of each version has a
-sketch. A group that leaves cells is sketched again, twice as large and with other hashes,
+sketch. A group that leaves cells is sketched again, four times as large and with other hashes,
 up to the last of ``LEVELS``. Two digests that share all cells even there are compared
 directly, so the result is exact always; ``exact`` counts such groups.
 
@@ -29,7 +29,7 @@ from chronolake.operators.order import range_bucket
 from chronolake.runtime import materialize, width
 
 BASE_CELLS = 4  # of each of the three parts
-LEVELS = (4, 8, 16, 32, 64)  # cells of each part of a group's sketches, one try after the other
+LEVELS = (4, 16, 64)  # cells of each part of a group's sketches, one try after the other
 PER_GROUP = 6
 ROUNDS = 16
 LONGS = "CAST(array() AS array<bigint>)"
