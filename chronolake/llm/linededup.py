@@ -59,7 +59,10 @@ FLUSH = 1 << 19  # postings that a task gathers before it packs them
 BUCKET = 1 << 19  # postings a bucket, about
 BITS = 1 << 26  # of the filter for the sets that verification needs
 BROADCAST = 400_000  # removed lines (with their documents) that are broadcast, some 30 MB; more are joined by a shuffle
+NARROW = 64  # words of a set that 64 bits tell from others; larger sets have 256
 POSTING = (("w", "<u4"), ("n", "<u4"), ("at", "<u4"), ("d", "<f4"), ("id", "<i8"), ("sig", "<u8"))
+WIDE = (("x0", "<u8"), ("x1", "<u8"), ("x2", "<u8"))  # of sets of over NARROW words
+COLUMNS = POSTING + WIDE
 WORDY = "[0-9A-Za-z\\\\x{80}-\\\\x{10FFFF}]"
 
 
@@ -157,12 +160,24 @@ def prefix_length(n: np.ndarray, threshold: float) -> np.ndarray:
     return n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
 
 
-def signatures(words: np.ndarray, line: np.ndarray, n_lines: int) -> np.ndarray:
-    """Parities of the words' bits of each line: two signatures differ in no more bits than the sets differ in words."""
-    out = np.zeros(n_lines, np.uint64)
+def signatures(words: np.ndarray, line: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """Parities of the words' bits of each line: two signatures differ in no more bits than the sets differ in words.
+
+    The first is of all words. Three more, of sets of over ``NARROW`` words, are of the words of
+    three of four classes; the fourth class is what they leave of the first.
+    """
+    out = [np.zeros(len(size), np.uint64) for _ in range(1 + len(WIDE))]
+    mixed = mix(words ^ np.uint64(0x5163))
+    bit, kind = np.uint64(1) << (mixed & np.uint64(63)), (mixed >> np.uint64(6)) & np.uint64(3)
     if len(words):
-        first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
-        out[line[first]] = np.bitwise_xor.reduceat(np.uint64(1) << (mix(words ^ np.uint64(0x5163)) & np.uint64(63)), first)
+        first = starts_of(line)
+        out[0][line[first]] = np.bitwise_xor.reduceat(bit, first)
+    large = size[line] > NARROW
+    if large.any():
+        bit, kind, line = bit[large], kind[large], line[large]
+        first = starts_of(line)
+        for i in range(len(WIDE)):
+            out[1 + i][line[first]] = np.bitwise_xor.reduceat(np.where(kind == i, bit, np.uint64(0)), first)
     return out
 
 
@@ -186,17 +201,24 @@ def packed(found: dict[str, np.ndarray], buckets: int) -> Iterator[tuple[int, by
     bucket = found["w"] % np.uint32(buckets)
     order = np.lexsort((found["w"], bucket))
     cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-    cols = [found[name].astype(kind)[order] for name, kind in POSTING]
+    cols = [found[name].astype(kind)[order] for name, kind in COLUMNS]
+    large = cols[1] > NARROW
     for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(order)]):
-        yield int(bucket[order[a]]), b"".join(c[a:b].tobytes() for c in cols)
+        head = np.array([b - a], "<i8").tobytes()
+        rest = [c[a:b][large[a:b]].tobytes() for c in cols[len(POSTING) :]]
+        yield int(bucket[order[a]]), b"".join([head, *[c[a:b].tobytes() for c in cols[: len(POSTING)]], *rest])
 
 
 def unpacked(block: bytes) -> list[np.ndarray]:
-    n = len(block) // sum(np.dtype(kind).itemsize for _, kind in POSTING)
-    out, at = [], 0
+    n, out, at = int(np.frombuffer(block, "<i8", 1)[0]), [], 8
     for _, kind in POSTING:
         out.append(np.frombuffer(block, kind, n, at))
         at += out[-1].nbytes
+    large = np.flatnonzero(out[1] > NARROW)
+    for _, kind in WIDE:
+        out.append(np.zeros(n, kind))
+        out[-1][large] = np.frombuffer(block, kind, len(large), at)
+        at += out[-1].itemsize * len(large)
     return out
 
 
@@ -216,7 +238,7 @@ def prefix_postings(docs: DataFrame, rank: np.ndarray, buckets: int, threshold:
         use &= size >= math.ceil(1 / (1 - threshold) - 1e-9) - 1
         pick = use[line]
         words, line = words[pick], line[pick]
-        sig = signatures(words, line, len(rows))
+        sigs = signatures(words, line, size)
         words, line = rare_first(words, line, rank)
         start = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(line) else np.zeros(0, np.int64)
         at = np.arange(len(line)) - np.repeat(start, np.diff(np.append(start, len(line))))
@@ -239,13 +261,13 @@ def prefix_postings(docs: DataFrame, rank: np.ndarray, buckets: int, threshold:
         order = np.zeros(part.num_rows, np.float32)
         if numeric:
             order = part.column(0).cast(pa.float64(), safe=False).fill_null(-np.inf).to_numpy(zero_copy_only=False).astype(np.float32)
-        return {"w": keys.astype(np.uint32), "n": size[line], "at": at, "d": order[rows[line]], "id": ids[line], "sig": sig[line]}
+        return {"w": keys.astype(np.uint32), "n": size[line], "at": at, "d": order[rows[line]], "id": ids[line]} | {name: sig[line] for (name, _), sig in zip(COLUMNS[5:], sigs)}
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, n = [], 0
 
         def flush() -> pa.RecordBatch:
-            rows = list(packed({name: np.concatenate([x[name] for x in waiting]) for name, _ in POSTING}, buckets))
+            rows = list(packed({name: np.concatenate([x[name] for x in waiting]) for name, _ in COLUMNS}, buckets))
             return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["bucket", "block"])
 
         for batch in batches:
@@ -262,13 +284,23 @@ def prefix_postings(docs: DataFrame, rank: np.ndarray, buckets: int, threshold:
     return slim.mapInArrow(each, "bucket int, block binary")
 
 
-def fits(a: list[np.ndarray], b: list[np.ndarray], threshold: float) -> np.ndarray:
-    """Length, positional and signature filters of meetings of two prefixes; none drops a pair that reaches the threshold."""
-    (_, na, ia, _, _, sa), (_, nb, ib, _, _, sb) = a, b
-    na, nb, ia, ib = (x.astype(np.int64) for x in (na, nb, ia, ib))
+def fits(x: list[np.ndarray], a: np.ndarray, y: list[np.ndarray], b: np.ndarray, threshold: float) -> np.ndarray:
+    """Length, positional and signature filters of meetings of two prefixes (postings ``x`` at ``a``, ``y`` at ``b``); none drops a pair that reaches the threshold."""
+    na, ia, nb, ib = (c.astype(np.int64) for c in (x[1][a], x[2][a], y[1][b], y[2][b]))
     need = np.ceil((na + nb) * (threshold / (1 + threshold)) - 1e-9).astype(np.int64)
+    most = na + nb - 2 * need
     ok = (np.minimum(na, nb) >= np.maximum(na, nb) * threshold - 1e-9) & (1 + np.minimum(na - ia - 1, nb - ib - 1) >= need)
-    return ok & (np.bitwise_count(sa ^ sb).astype(np.int64) <= na + nb - 2 * need)
+    ok &= np.bitwise_count(x[5][a] ^ y[5][b]) <= most
+    large = np.flatnonzero(ok & (np.minimum(na, nb) > NARROW))
+    if len(large):
+        p, q = a[large], b[large]
+        rest, apart = x[5][p] ^ y[5][q], np.zeros(len(large), np.int64)
+        for i in range(len(POSTING), len(COLUMNS)):
+            differ = x[i][p] ^ y[i][q]
+            rest ^= differ
+            apart += np.bitwise_count(differ)
+        ok[large] = apart + np.bitwise_count(rest) <= most[large]
+    return ok
 
 
 def marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -331,7 +363,7 @@ def lead(cols: list[np.ndarray], threshold: float) -> tuple[np.ndarray, list[tup
         led[first] = True
         open_ = open_[~led[open_]]
         a = of_key[key[open_]]
-        ok = fits([c[a] for c in cols], [c[open_] for c in cols], threshold)
+        ok = fits(cols, a, cols, open_, threshold)
         explained[open_[ok]] = True
         pairs.append((a[ok], open_[ok]))
     return explained, pairs
@@ -349,8 +381,8 @@ def meetings(blocks: DataFrame, buckets: int, threshold: float, questioned: np.n
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         again = shared.value
-        light = [np.zeros(0, kind) for _, kind in POSTING]
-        leads = [np.zeros(0, kind) for _, kind in POSTING]  # one posting of each heavy key
+        light = [np.zeros(0, kind) for _, kind in COLUMNS]
+        leads = [np.zeros(0, kind) for _, kind in COLUMNS]  # one posting of each heavy key
         waiting, n = [], 0
 
         def pairs_of(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -358,7 +390,7 @@ def meetings(blocks: DataFrame, buckets: int, threshold: float, questioned: np.n
 
         def fold() -> Iterator[pa.RecordBatch]:
             nonlocal light, leads
-            cols = [np.concatenate([light[i], *[x[i] for x in waiting]]) for i in range(len(POSTING))]
+            cols = [np.concatenate([light[i], *[x[i] for x in waiting]]) for i in range(len(COLUMNS))]
             order = np.lexsort((cols[2], cols[3], cols[4], cols[0]))  # of a set's equal keys the earliest and foremost stays
             cols = [c[order] for c in cols]
             new = np.concatenate([[True], (cols[0][1:] != cols[0][:-1]) | (cols[4][1:] != cols[4][:-1])])
@@ -378,9 +410,9 @@ def meetings(blocks: DataFrame, buckets: int, threshold: float, questioned: np.n
             if again is not None:
                 yield rows_of(cols[4], None, cols[0], cols)
                 return
-            head = [x[np.searchsorted(leads[0], cols[0])] for x in leads]
-            ok = fits(head, cols, threshold) & (head[4] != cols[4])
-            yield rows_of(head[4][ok], cols[4][ok], cols[0][ok])
+            head = np.searchsorted(leads[0], cols[0])
+            ok = fits(leads, head, cols, np.arange(len(head)), threshold) & (leads[4][head] != cols[4])
+            yield rows_of(leads[4][head[ok]], cols[4][ok], cols[0][ok])
             yield rows_of(None, cols[4][~ok], cols[0][~ok])
 
         for batch in batches:
@@ -425,7 +457,7 @@ def meetings(blocks: DataFrame, buckets: int, threshold: float, questioned: np.n
                 a_asks = asks[a] & (light[3][a] >= light[3][b])
                 ask = a_asks | (asks[b] & (light[3][b] >= light[3][a]))
                 a, b, a_asks = a[ask], b[ask], a_asks[ask]
-                ok = fits([c[a] for c in light], [c[b] for c in light], threshold)
+                ok = fits(light, a, light, b, threshold)
                 early.append(np.where(a_asks, b, a)[ok])
                 late.append(np.where(a_asks, a, b)[ok])
                 if again is None:  # one trial a set and key; those that fail ask again
