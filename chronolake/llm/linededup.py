@@ -472,33 +472,36 @@ def meetings(blocks: DataFrame, buckets: int, threshold: float, questioned: np.n
     return dealt.mapInArrow(each, "early long, late long, word long, n int, at int, sig long")
 
 
-def needed_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, words): the whole sets named in ``ids``; a filter of fixed size keeps most others from being emitted."""
-    shared = docs.sparkSession.sparkContext.broadcast(filter_of(ids.select("id")))
+def needed_sets(docs: DataFrame, ids: DataFrame, first: DataFrame) -> DataFrame:
+    """(id, words): the whole sets named in ``ids``, read from the texts of their first places; filters of fixed size keep most others out."""
+    texts = filter_of(ids.join(first, "id").select(F.col("first.th").alias("th")))
+    shared = docs.sparkSession.sparkContext.broadcast((filter_of(ids.select("id")), texts))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, texts = shared.value
         for batch in batches:
-            for _, data, offsets in chunks(batch):
+            some = np.flatnonzero(marked(texts, batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)))
+            for _, data, offsets in chunks(batch.take(pa.array(some))):
                 words, line, rows, _ = line_sets(data, offsets)
                 got, size = set_ids(words, line, len(rows))
-                _, first = np.unique(got, return_index=True)
+                _, lead = np.unique(got, return_index=True)
                 want = np.zeros(len(rows), bool)
-                want[first] = marked(shared.value, got[first].view(np.uint64))
+                want[lead] = marked(wanted, got[lead].view(np.uint64))
                 want &= size > 0
                 values = words[want[line]].view(np.int64)
                 ends = np.concatenate([[0], np.cumsum(size[want])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(got[want]), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["id", "words"])
 
-    sets = docs.select("text").mapInArrow(each, "id long, words array<long>")
+    sets = docs.select(F.xxhash64("text"), "text").mapInArrow(each, "id long, words array<long>")
     return sets.groupBy("id").agg(F.first("words").alias("words"))
 
 
-def verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, first: DataFrame, threshold: float) -> DataFrame:
     """The distinct ``pairs`` (early, late) whose whole sets reach the threshold."""
     pairs = pairs.select(F.least("early", "late").alias("early"), F.greatest("early", "late").alias("late"))
     pairs = materialize(pairs.distinct(), "pairs")
     ids = pairs.select(F.col("early").alias("id")).union(pairs.select("late")).distinct()
-    sets = materialize(needed_sets(docs, ids), "sets")
+    sets = materialize(needed_sets(docs, ids, first), "sets")
     a = sets.select(F.col("id").alias("early"), F.col("words").alias("wa"))
     b = sets.select(F.col("id").alias("late"), F.col("words").alias("wb"))
     both = pairs.join(a, "early").join(b, "late")
@@ -529,7 +532,7 @@ def near_repeats(docs: DataFrame, first: DataFrame, rank: np.ndarray, words: int
     """(id): the distinct sets that repeat an earlier set without being equal to it. ``first``: (id, first), the place of each set."""
     buckets = max(1, math.ceil(words * (1 - threshold) / BUCKET))
     met = materialize(meetings(prefix_postings(docs, rank, buckets, threshold), buckets, threshold), "met")
-    done = materialize(later(verified(docs, met.where("early IS NOT NULL").select("early", "late"), threshold), first), "done")
+    done = materialize(later(verified(docs, met.where("early IS NOT NULL").select("early", "late"), first, threshold), first), "done")
     asks = met.where("word IS NOT NULL").select(F.col("late").alias("id"), "word").distinct().join(done, "id", "left_anti")
     asks = materialize(asks, "asks")
     drop_materialized(met)
@@ -545,7 +548,7 @@ def near_repeats(docs: DataFrame, first: DataFrame, rank: np.ndarray, words: int
     b = heavy.join(sets, "id", "left_semi").select("word", F.explode(F.array(band - 1, band, band + 1)).alias("band"), *[F.col(x).alias(f"b_{x}") for x in ("id", "n", "at", "sig")])
     more = a.join(b, ["word", "band"]).where((F.col("a_id") != F.col("b_id")) & passes(threshold)).select(F.col("a_id").alias("early"), F.col("b_id").alias("late"))
     more = more.union(met.where("late IS NOT NULL").select("early", "late"))
-    out = materialize(done.union(later(verified(docs, more, threshold), first)).distinct(), "repeats")
+    out = materialize(done.union(later(verified(docs, more, first, threshold), first)).distinct(), "repeats")
     drop_materialized(met)
     return out
 
