@@ -25,5 +25,5 @@ def query(name: str, sql: str | None = None) -> Callable:
     return wrap
 
 
-for _module in ("temporal", "joins", "aggregates", "markets", "evaluation", "graphs", "relational", "live", "pitches", "books", "shaping", "scoring"):
+for _module in ("temporal", "joins", "aggregates", "markets", "evaluation", "graphs", "relational", "live", "pitches", "books", "shaping", "scoring", "profiles"):
     importlib.import_module(f"chronolake.plans.{_module}")

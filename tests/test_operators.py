@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F, types as T
 
 from chronolake.functions import physics as X, scalar as S
-from chronolake.operators import agg as G, asof, pricing as M, quality as Q, ratings as R, shaping
+from chronolake.operators import agg as G, asof, pricing as M, profiles, quality as Q, ratings as R, shaping
 from chronolake.operators.graph import connected_components
 from chronolake.operators.order import dense_row_numbers, range_bucket
 from chronolake.sources import scan as C
@@ -196,3 +196,29 @@ def test_shaping_reads_the_schema(spark):
     assert [c for c in shaping.observed_masks(df, ["home_roll_a", "home_roll_b"]).columns if c.endswith("_observed")] == ["home_roll_b_observed"]
     points = spark.createDataFrame([([0.0, 0.5, 3.0, 3.5, 9.0],)], "p array<double>")
     assert points.select(shaping.spread_apart(points.p, 1.0, 2, lambda a, b: F.abs(a - b)).alias("o")).first().o == [0.0, 3.0]
+
+
+def test_peak_wind_wraps_back_and_empty_reports(spark):
+    rows = [(1, "PK WND 27035/1205", "2024-05-01 00:10:00"), (2, "PK WND 27035/55", "2024-05-01 00:10:00"), (3, "PK WND 090105/05", "2024-05-01 00:10:00"), (4, None, "2024-05-01 00:10:00"), (5, "", None)]
+    df = spark.createDataFrame(rows, "k int, report string, t string").withColumn("t", F.to_timestamp("t"))
+    wind = profiles.peak_wind(F.col("report"), F.col("t"))
+    got = {r.k: (r.d, r.s, r.at) for r in df.select("k", wind["direction"].alias("d"), wind["speed"].alias("s"), F.date_format(wind["at"], "dd HH:mm").alias("at")).collect()}
+    assert got == {1: (270.0, 35.0, "30 12:05"), 2: (270.0, 35.0, "30 23:55"), 3: (90.0, 105.0, "01 00:05"), 4: (None, None, None), 5: (None, None, None)}
+
+
+def test_trailing_profile_ignores_own_and_later_days(spark):
+    rows = [("a", "2024-05-01", 1.0, 2.0), ("a", "2024-05-03", 1.0, 4.0), ("a", "2024-06-02", 100.0, 100.0), ("b", "2024-05-02", 5.0, 0.0), ("b", "2024-05-03", None, None)]
+    out = profiles.trailing_profile(spark.createDataFrame(rows, "k string, day string, x double, n double"), "k", "day", {"rate": ("x", "n", 1.0)})
+    got = {(r.k, r.day): (r.rate, r.load_3) for r in out.collect()}
+    assert got[("a", "2024-05-01")] == (None, 0.0)
+    assert got[("a", "2024-05-03")] == (0.5, 1 / 3)
+    assert got[("a", "2024-06-02")] == (0.25, 0.0)  # the first of May is over 30 days ago
+    assert got[("b", "2024-05-03")] == (None, 1 / 3)
+
+
+def test_settlement_counts_a_key_once(spark):
+    rows = [("a", 1, 1.0, "YES"), ("a", 2, 0.0, "no"), ("b", 1, 1.0, "no"), ("c", 1, 1.0, None)]
+    out = profiles.settlement_agreement(spark.createDataFrame(rows, "k string, i int, y double, r string"), "k", "i", "y", "r").first()
+    assert (out.n, out.agreement) == (2, 0.5)
+    empty = profiles.settlement_agreement(spark.createDataFrame([], "k string, i int, y double, r string"), "k", "i", "y", "r").first()
+    assert (empty.n, empty.agreement) == (0, None)
