@@ -6,6 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from chronolake.functions.physics import haversine
+
 #: Share of the sky in percent, by cover code.
 SKY = {"CLR": 0.0, "SKC": 0.0, "NCD": 0.0, "NSC": 0.0, "CAVOK": 0.0, "FEW": 18.75, "SCT": 43.75, "BKN": 75.0, "OVC": 100.0, "VV": 100.0}
 PEAK = r"PK WND ([0-9]{3})([0-9]{2,3})/([0-9]{4}|[0-9]{2})(?![0-9])"
@@ -105,3 +107,39 @@ def season_dates(seasons: DataFrame, year: str, opens: tuple[int, int], closes:
     """One row for every ``step``-th date of a season, from its opening day on."""
     ends = [F.make_date(F.col(year), F.lit(m), F.lit(d)) for m, d in (opens, closes)]
     return seasons.select(year, F.explode(F.sequence(*ends, F.make_dt_interval(F.lit(step)))).alias("day"))
+
+
+def negbin_cdf(mu: Column, alpha: Column, y: Column) -> Column:
+    """Chance of at most ``y`` of a negative binomial (size ``alpha``, mean ``mu``), for counts of any size."""
+    miss = mu / (alpha + mu)
+    none = F.pow(alpha / (alpha + mu), alpha)
+    term = lambda s, k: s["t"] * (k - 1 + alpha) / k * miss
+    step = lambda s, k: F.struct(term(s, k).alias("t"), (s["s"] + term(s, k)).alias("s"))
+    some = F.aggregate(F.sequence(F.lit(1), F.greatest(y, F.lit(1)).cast("int")), F.struct(none.alias("t"), none.alias("s")), step, lambda s: s["s"])
+    return F.when(y < 0, 0.0).when(y == 0, none).when(y > 0, F.least(F.lit(1.0), some))
+
+
+def pit_histogram(df: DataFrame, mu: Column, alpha: Column, y: Column, bins: int = 10) -> DataFrame:
+    """How many outcomes fall into each equal bin of their predicted distribution's chance; flat if calibrated. Unknown rows are left out."""
+    at = F.least(F.floor(negbin_cdf(mu, alpha, y) * bins), F.lit(bins - 1)).cast("int")
+    return df.select(at.alias("bin")).where("bin IS NOT NULL").groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+
+
+def station_pair(venues: DataFrame, stations: DataFrame, near: int = 20, apart_km: float = 1.0, bound: int = 20_000) -> DataFrame:
+    """``venues`` (lat, lon) with the nearest station and the next one that lies at least ``apart_km`` from it.
+
+    Both come from the ``near`` nearest (ties by id); without a second one the first stands in
+    for it. ``stations`` (id, lat, lon) travel as one array and may be ``bound`` rows at most.
+    Stations without a position are no candidates; a venue without one gets nulls.
+    """
+    known = stations.select("id", "lat", "lon").where("id IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL")
+    if known.count() > bound:
+        raise ValueError(f"more than {bound} stations")
+    every = F.broadcast(known.agg(F.collect_list(F.struct("id", "lat", "lon")).alias("__all")))  # one row
+    km = lambda s: F.round(haversine(F.col("lat"), F.col("lon"), s["lat"], s["lon"]), 6)
+    ranked = F.slice(F.array_sort(F.transform("__all", lambda s: F.struct(km(s).alias("km"), s["id"].alias("id"), s["lat"].alias("lat"), s["lon"].alias("lon")))), 1, near)
+    first = F.get(F.col("__near"), F.lit(0))
+    others = F.filter(F.col("__near"), lambda s: haversine(first["lat"], first["lon"], s["lat"], s["lon"]) >= apart_km)
+    out = venues.crossJoin(every).withColumn("__near", F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), ranked)).drop("__all")
+    out = out.withColumns({"__a": first, "__b": F.coalesce(F.get(others, F.lit(0)), first)})
+    return out.withColumns({"primary": F.col("__a.id"), "primary_km": F.col("__a.km"), "backup": F.col("__b.id"), "backup_km": F.col("__b.km")}).drop("__near", "__a", "__b")

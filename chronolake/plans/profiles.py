@@ -121,3 +121,32 @@ def family_hint(spark: SparkSession, d: str) -> DataFrame:
 def season_dates(spark: SparkSession, d: str) -> DataFrame:
     years = table(spark, d, "orders").select(F.year("o_orderdate").alias("season")).distinct()
     return R.season_dates(years, "season", (3, 20), (10, 15), 7)
+
+
+@query(
+    "pit_histogram",
+    """WITH o AS (SELECT o_orderkey, 2 + o_totalprice / 100000 AS m, 1.5 + o_orderkey % 5 AS a, o_orderkey * 7 % 12 AS y FROM orders),
+    c AS (SELECT o_orderkey, sum(exp(lgamma(k + a) - lgamma(a) - lgamma(k + 1) + a * ln(a / (a + m)) + k * ln(m / (a + m)))) AS p FROM o JOIN range(0, 12) r(k) ON k <= y GROUP BY 1)
+    SELECT CAST(least(floor(p * 10), 9) AS INT) AS bin, count(*) AS n FROM c GROUP BY 1""",
+)
+def pit_histogram(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    return R.pit_histogram(table(spark, d, "orders"), 2 + F.col("o_totalprice") / 100000, 1.5 + k % 5, k * 7 % 12)
+
+
+_KM = "round(2 * 6371 * asin(sqrt(least(1.0, pow(sin(radians({b}lat - {a}lat) / 2), 2) + cos(radians({a}lat)) * cos(radians({b}lat)) * pow(sin(radians({b}lon - {a}lon) / 2), 2)))), 6)"
+
+
+@query(
+    "station_pair",
+    f"""WITH v AS (SELECT c_custkey, c_custkey * 37 % 120 - 59.5 AS lat, c_custkey * 53 % 340 - 169.75 AS lon FROM customer), s AS (SELECT n_nationkey AS id, n_nationkey // 2 * 29 % 120 - 60 AS lat, n_nationkey // 2 * 71 % 340 - 170 AS lon FROM nation),
+    d AS (SELECT c_custkey, s.*, {_KM.format(a="v.", b="s.")} AS km FROM v, s), r AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY km, id) AS k FROM d QUALIFY k <= 20),
+    x AS (SELECT p.c_custkey, p.id AS "primary", p.km AS primary_km, b.id AS bid, b.km AS bkm FROM r p LEFT JOIN r b ON b.c_custkey = p.c_custkey AND {_KM.format(a="p.", b="b.")} >= 1 WHERE p.k = 1 QUALIFY row_number() OVER (PARTITION BY p.c_custkey ORDER BY b.k) = 1)
+    SELECT c_custkey, "primary", round(primary_km, 3) AS primary_km, coalesce(bid, "primary") AS backup, round(coalesce(bkm, primary_km), 3) AS backup_km FROM x""",
+)
+def station_pair(spark: SparkSession, d: str) -> DataFrame:
+    k, pos = F.col("c_custkey"), F.expr("CAST(n_nationkey DIV 2 AS INT)")
+    venues = table(spark, d, "customer").select("c_custkey", (k * 37 % 120 - 59.5).alias("lat"), (k * 53 % 340 - 169.75).alias("lon"))
+    stations = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), (pos * 29 % 120 - 60).cast("double").alias("lat"), (pos * 71 % 340 - 170).cast("double").alias("lon"))
+    out = R.station_pair(venues, stations)
+    return out.select("c_custkey", "primary", F.round("primary_km", 3).alias("primary_km"), "backup", F.round("backup_km", 3).alias("backup_km"))

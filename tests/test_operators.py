@@ -222,3 +222,23 @@ def test_settlement_counts_a_key_once(spark):
     assert (out.n, out.agreement) == (2, 0.5)
     empty = profiles.settlement_agreement(spark.createDataFrame([], "k string, i int, y double, r string"), "k", "i", "y", "r").first()
     assert (empty.n, empty.agreement) == (0, None)
+
+
+def test_station_pair_needs_a_second_field(spark):
+    venues = spark.createDataFrame([(1, 10.0, 10.0), (2, None, 10.0)], "v int, lat double, lon double")
+    rows = [("a", 10.1, 10.0), ("b", 10.1, 10.0), ("c", 11.0, 10.0), ("d", None, None)]
+    stations = spark.createDataFrame(rows, "id string, lat double, lon double")
+    pick = lambda s: {r.v: (r.primary, r.backup) for r in profiles.station_pair(venues, s).collect()}
+    assert pick(stations) == {1: ("a", "c"), 2: (None, None)}
+    assert pick(stations.where("id IN ('a', 'b')")) == {1: ("a", "a"), 2: (None, None)}
+    assert pick(stations.where("id = 'd'")) == {1: (None, None), 2: (None, None)}
+    with pytest.raises(ValueError):
+        profiles.station_pair(venues, stations, bound=2)
+
+
+def test_negbin_cdf_sums_the_pmf(spark):
+    df = spark.createDataFrame([(y,) for y in (-1, 0, 1, 7, None)], "y int")
+    got = {r.y: r.p for r in df.select("y", profiles.negbin_cdf(F.lit(4.0), F.lit(2.0), F.col("y")).alias("p")).collect()}
+    pmf = spark.range(1).select(M.negbin_pmf(F.lit(4.0), F.lit(2.0), 7).alias("p")).first().p
+    assert got[-1] == 0 and got[None] is None
+    assert all(math.isclose(got[y], sum(pmf[: y + 1]), rel_tol=1e-9) for y in (0, 1, 7))
