@@ -13,7 +13,7 @@ from chronolake.functions import physics as X, scalar as S
 from chronolake.operators import agg as G, asof, pricing as M, profiles, quality as Q, ratings as R, shaping
 from chronolake.operators.graph import connected_components
 from chronolake.operators.order import dense_row_numbers, range_bucket
-from chronolake.sources import scan as C
+from chronolake.sources import scan as C, sinks as K
 from chronolake.streaming import live as L
 
 
@@ -242,3 +242,47 @@ def test_negbin_cdf_sums_the_pmf(spark):
     pmf = spark.range(1).select(M.negbin_pmf(F.lit(4.0), F.lit(2.0), 7).alias("p")).first().p
     assert got[-1] == 0 and got[None] is None
     assert all(math.isclose(got[y], sum(pmf[: y + 1]), rel_tol=1e-9) for y in (0, 1, 7))
+
+
+def test_snapshots_report_damaged_files(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"id": 1,\n "line": {"runs": 3}, "offense": {"x": [1, 2]}}')
+    (tmp_path / "b.json").write_text('{"id": 2, "line":')
+    schema = T.StructType.fromDDL("id long, line struct<runs: int>, offense struct<x: array<int>>")
+    good, bad = K.snapshots(spark, str(tmp_path), schema, {"id": "id", "runs": "line.runs"}, ["offense"])
+    assert [(r.id, r.runs, r.offense) for r in good.collect()] == [(1, 3, '{"x":[1,2]}')]
+    assert [r.file.rsplit("/", 1)[1] for r in bad.collect()] == ["b.json"]
+
+
+def test_aligned_chunks_and_tape(spark, tmp_path):
+    a = spark.createDataFrame([(1, 2.0, "n", 4)], "k long, x double, name string, n long")
+    b = spark.createDataFrame([("z", "2", 1)], "x string, k string, extra int")
+    K.write_aligned([a, b], f"{tmp_path}/s")
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/s").collect())) == [(1, 2.0, "n", 4), (2, None, None, None)]
+    for k in (1, 2):
+        K.append_lines(spark.createDataFrame([("2024-05-01", k)], "day string, k int"), f"{tmp_path}/tape", "day")
+    assert sorted(r.k for r in spark.read.json(f"{tmp_path}/tape").collect()) == [1, 2]
+
+
+def test_appended_columns_are_idempotent_and_gated(spark):
+    store = spark.createDataFrame([(1, 5.0), (1, 5.0), (2, 6.0), (None, 7.0)], "k int, old double")
+    extra = spark.createDataFrame([(1, 0.5), (2, 0.9)], "k int, f double")
+    once = K.append_columns(store, extra, ["k"], {"f": F.col("f").between(0, 1)}, 0.7)
+    twice = K.append_columns(once, extra, ["k"])
+    key = lambda d: sorted(map(str, d.select("k", "old", "f").collect()))
+    assert key(once) == key(twice) and once.count() == 4
+    for features, gates, least in ((extra.union(extra), {}, 0), (extra, {"f": F.col("f") < 0.6}, 0), (extra, {}, 0.8)):
+        with pytest.raises(ValueError):
+            K.append_columns(store, features, ["k"], gates, least)
+    assert K.append_columns(store.limit(0), extra, ["k"], {"f": F.col("f") < 0}, 0.5).count() == 0
+
+
+def test_ingest_is_idempotent(spark, tmp_path):
+    wanted = spark.createDataFrame([(i,) for i in (1, 2, 2, 3, None)], "id int")
+    failed = spark.createDataFrame([(3, False)] * 3, "id int, ok boolean")
+    for _ in range(2):
+        K.ingest(spark.createDataFrame([(1, "x"), (1, "y")], "id int, v string"), f"{tmp_path}/d", f"{tmp_path}/l", "id", "a")
+    ledger = spark.read.parquet(f"{tmp_path}/l").select("id", "ok")
+    assert spark.read.parquet(f"{tmp_path}/d").count() == 2
+    assert [r.id for r in K.pending(wanted, ledger.union(failed), "id").collect()] == [2]
+    assert sorted(r.id for r in K.pending(wanted, ledger.union(failed.limit(2)), "id").collect()) == [2, 3]
+    assert sorted(r.id for r in K.pending(wanted, ledger.limit(0), "id").collect()) == [1, 2, 3]
