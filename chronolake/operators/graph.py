@@ -7,6 +7,11 @@ from pyspark.sql import DataFrame, functions as F
 from chronolake.runtime import drop_materialized, materialize
 
 
+def mark_of(edges: DataFrame) -> tuple:
+    """Count and exclusive or of the hashes of distinct ``edges``: equal for equal sets, and no sum that overflows."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component): the smallest node that each node of ``edges`` can reach.
 
@@ -32,7 +37,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         after = materialize(star(star(now, True), False), "edges")
         drop_materialized(now)
         now = after
-        seen = tuple(now.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first())
+        seen = mark_of(now)
         if seen == mark:
             break
         mark = seen

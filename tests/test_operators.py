@@ -163,6 +163,14 @@ def test_schedule_components_of_whole_tables(spark, tmp_path):
     assert got == want
 
 
+def test_components_mark_of_very_many_edges(spark):
+    from chronolake.operators import graph
+
+    edges = spark.range(1 << 25).selectExpr("id AS a", "-1 - id AS b")
+    n, mark = graph.mark_of(edges)
+    assert n == 1 << 25 and graph.mark_of(edges.repartition(3)) == (n, mark) and graph.mark_of(edges.where("a > 0"))[1] != mark
+
+
 def test_last_nonzero_keeps_zeros(spark, tmp_path):
     from chronolake.plans import registry
     from compare import compare, database
