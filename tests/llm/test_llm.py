@@ -553,6 +553,38 @@ def test_pipeline_groups_by_shingle_likeness(spark, heavy):
     assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()} == want
 
 
+@pytest.mark.parametrize("block", [1 << 23, 40])
+def test_groups_of_a_dense_block_are_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in rng.integers(0, 5000, 140)]
+    texts = []
+    for _ in range(120):
+        words = list(base)
+        for at in rng.choice(140, rng.integers(0, 9), replace=False):
+            words[at] = f"x{rng.integers(0, 1 << 30)}"
+        texts.append(" ".join(words))
+    texts += ["a b c d e f g h", "a b c d e f g h i", "a b c d e f g", "a b c", ""]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if likeness_of_shingles(texts[i], texts[j]) >= 0.8:
+                label = [label[j] if x == label[i] else x for x in label]
+    assert 10 < len(set(label)) < 110
+    want = {min(i for i, x in enumerate(label) if x == y) for y in set(label)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in neardup.keep_one(docs).collect()} == want
+
+
+def test_a_block_is_classed_without_its_pairs(spark):
+    words = [f"w{i}" for i in range(100)]
+    texts = [" ".join(words[:i] + [f"x{i}"] + words[i + 1 :]) for i in range(90)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("__h", F.xxhash64("text"))
+    sets = neardup.sets_of(docs).withColumn("block", F.lit(7))
+    got = neardup.classes_of(sets).collect()
+    assert len({r.fp for r in got}) == len(got) == 90 and len({r.group for r in got}) == 1
+
+
 # ---- words and the pipeline
 
 
