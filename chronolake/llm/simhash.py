@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from chronolake.llm.textbytes import chunks
 from chronolake.operators.graph import connected_components
+from chronolake.operators.sieve import sieve, sifted
 from chronolake.runtime import materialize, ship
 
 SEED = 42
@@ -151,7 +152,7 @@ def keep_one(docs: DataFrame, k: int = 4, radius: int = 4) -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest id, nulls last.
 
     Of several rows with that id the smallest text hash decides; of rows equal in both one
-    stays. The choice is made on ids and hashes, so texts are shuffled once.
+    stays. The choice is made on ids and hashes; only texts that may have to go are shuffled.
     """
     inner = apart(docs)
     prints = materialize(fingerprints(inner.withColumn("__h", F.xxhash64("text")), k, keep=["doc_id", "__h"]), "prints")
@@ -164,12 +165,20 @@ def apart(docs: DataFrame, needed: tuple[str, ...] = ("doc_id", "text")) -> Data
 
 
 def one_of_each(docs: DataFrame, whole: DataFrame) -> DataFrame:
-    """``docs`` with the row of each group that ``keep_one`` names; ``whole`` has doc_id, __h (hash of the text) and group of every row."""
+    """``docs`` with the row of each group that ``keep_one`` names; ``whole`` has doc_id, __h (hash of the text) and group of every row.
+
+    Only texts that may have to go, or that may be a repeated row, are shuffled.
+    """
     cols = docs.columns
     chosen = whole.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__h")).alias("c"))
-    chosen = chosen.select(F.col("c.doc_id").alias("__id"), F.col("c.__h").alias("__c"))
-    hashed = docs.withColumn("__h", F.xxhash64("text"))
-    out = hashed.join(chosen, hashed["doc_id"].eqNullSafe(chosen["__id"]) & (hashed["__h"] == chosen["__c"]), "left_semi")
-    if whole.groupBy("doc_id", "__h").count().where("count > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id", "__h"])
-    return out.select(*cols)
+    chosen = materialize(chosen.select(F.col("c.doc_id").alias("__id"), F.col("c.__h").alias("__c")), "chosen")
+    rows = whole.groupBy("doc_id", "__h").count()
+    named = lambda x: x["doc_id"].eqNullSafe(chosen["__id"]) & (x["__h"] == chosen["__c"])
+    key = F.xxhash64("doc_id", "__h")
+    marks = rows.join(chosen, named(rows), "left_anti").select("doc_id", "__h").union(rows.where("count > 1").select("doc_id", "__h"))
+    hashed = sifted(docs.withColumn("__h", F.xxhash64("text")), sieve(marks, key), key)
+    some = hashed.where("may")
+    some = some.join(chosen, named(some), "left_semi")
+    if rows.where("count > 1").limit(1).count():
+        some = some.dropDuplicates(["doc_id", "__h"])
+    return hashed.where("NOT may").select(*cols).union(some.select(*cols))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from chronolake.llm import decontam, fingerprint, langid, licenses, linededup, mixing, neardup, pii, queries, secrets, sharding, simhash, textbytes
+from chronolake.operators import sieve
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"word{i} of the long text." for i in range(6000))
@@ -585,6 +586,51 @@ def test_a_block_is_classed_without_its_pairs(spark):
     assert len({r.fp for r in got}) == len(got) == 90 and len({r.group for r in got}) == 1
 
 
+# ---- what is shuffled
+
+
+def shuffled_bytes(spark, run):
+    """Bytes that the stages of ``run`` write to shuffles, with no join broadcast but by a hint."""
+    sc, jvm = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty()
+        found = sc.statusStore().stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteBytes() for i in range(found.size())}
+
+    before = max(stages(), default=-1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        run()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    return sum(n for i, n in stages().items() if i > before)
+
+
+def large_texts(n):
+    """Texts of long words: many bytes, but few words and lines."""
+    rng = np.random.default_rng(8)
+    return [" ".join(rng.bytes(1500).hex() for _ in range(7)) for _ in range(n)]
+
+
+def test_a_sieve_keeps_all_keys(spark):
+    ids = spark.range(4000)
+    bits = sieve.sieve(spark.range(0, 4000, 10), F.xxhash64("id"))
+    got = {r.id for r in sieve.sifted(ids, bits, F.xxhash64("id")).where("may").collect()}
+    assert got >= set(range(0, 4000, 10)) and len(got) < 420
+    none = sieve.sieve(spark.range(0), F.xxhash64("id"))
+    assert sieve.sifted(ids, none, F.xxhash64("id")).where("NOT may").count() == 4000
+
+
+def test_texts_without_a_copy_are_not_shuffled(spark):
+    texts = large_texts(150)
+    docs = spark.createDataFrame([*enumerate(texts), (200, texts[3]), (201, texts[5] + " end"), (7, texts[7])], "doc_id long, text string")
+    got = []
+    moved = shuffled_bytes(spark, lambda: got.extend(neardup.keep_one(docs).collect()))
+    assert sorted(r.doc_id for r in got) == sorted({*range(150), 201})
+    assert moved < sum(map(len, texts)) / 4
+
+
 # ---- words and the pipeline
 
 
