@@ -44,6 +44,7 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 from pyspark.sql.types import NumericType, StructType
 
 from chronolake.llm.textbytes import LOWER_WORD, chunks, mix, word_bounds, word_hashes
+from chronolake.operators.sieve import sieve, sifted
 from chronolake.runtime import drop_materialized, materialize, ship
 
 SLOTS = 1 << 22
@@ -58,7 +59,6 @@ LONG = 256
 FLUSH = 1 << 19  # postings that a task gathers before it packs them
 BUCKET = 1 << 19  # postings a bucket, about
 BITS = 1 << 26  # of the filter for the sets that verification needs
-BROADCAST = 400_000  # removed lines (with their documents) that are broadcast, some 30 MB; more are joined by a shuffle
 NARROW = 64  # words of a set that 64 bits tell from others; larger sets have 256
 POSTING = (("w", "<u4"), ("n", "<u4"), ("at", "<u4"), ("d", "<f4"), ("id", "<i8"), ("sig", "<u8"))
 WIDE = (("x0", "<u8"), ("x1", "<u8"), ("x2", "<u8"))  # of sets of over NARROW words
@@ -119,7 +119,7 @@ def scanned(docs: DataFrame) -> DataFrame:
                 words, line, rows, number = line_sets(data, offsets)
                 if not len(words):
                     continue
-                total += np.bincount(slot(words), minlength=SLOTS)
+                np.add.at(total, slot(words), 1)  # no array of SLOTS a chunk
                 ids, size = set_ids(words, line, len(rows))
                 some = np.flatnonzero(size)
                 at, none = pa.array(rows[some]), len(some)
@@ -238,7 +238,7 @@ def prefix_postings(docs: DataFrame, rank: np.ndarray, buckets: int, threshold:
         use &= size >= math.ceil(1 / (1 - threshold) - 1e-9) - 1
         pick = use[line]
         words, line = words[pick], line[pick]
-        sigs = signatures(words, line, size)
+        whole = words, line
         words, line = rare_first(words, line, rank)
         start = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(line) else np.zeros(0, np.int64)
         at = np.arange(len(line)) - np.repeat(start, np.diff(np.append(start, len(line))))
@@ -258,6 +258,10 @@ def prefix_postings(docs: DataFrame, rank: np.ndarray, buckets: int, threshold:
             want = marked(only, keys)
             keys, spots = keys[want], spots[want]
         line, at = line[spots], at[spots]
+        use[:] = False
+        use[line] = True
+        pick = use[whole[1]]
+        sigs = signatures(whole[0][pick], whole[1][pick], size)
         order = np.zeros(part.num_rows, np.float32)
         if numeric:
             order = part.column(0).cast(pa.float64(), safe=False).fill_null(-np.inf).to_numpy(zero_copy_only=False).astype(np.float32)
@@ -313,10 +317,10 @@ def filter_of(keys: DataFrame) -> np.ndarray:
     """A packed filter of fixed size of a column of longs; it holds all of them, and others by chance."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(BITS, bool)
+        packed = np.zeros(BITS // 8, np.uint8)
         for batch in batches:
-            bits[(mix(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)) & np.uint64(BITS - 1)).astype(np.int64)] = True
-        packed = np.packbits(bits)
+            at = (mix(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)) & np.uint64(BITS - 1)).astype(np.int64)
+            np.bitwise_or.at(packed, at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8))
         for b in range(0, len(packed), 1 << 16):
             some = packed[b : b + (1 << 16)]
             if some.any():
@@ -391,16 +395,20 @@ def meetings(blocks: DataFrame, buckets: int, threshold: float, questioned: np.n
         def fold() -> Iterator[pa.RecordBatch]:
             nonlocal light, leads
             cols = [np.concatenate([light[i], *[x[i] for x in waiting]]) for i in range(len(COLUMNS))]
+            light = []
+            waiting.clear()
             order = np.lexsort((cols[2], cols[3], cols[4], cols[0]))  # of a set's equal keys the earliest and foremost stays
-            cols = [c[order] for c in cols]
-            new = np.concatenate([[True], (cols[0][1:] != cols[0][:-1]) | (cols[4][1:] != cols[4][:-1])])
-            cols = [c[new] for c in cols]
+            w, ids = cols[0][order], cols[4][order]
+            order = order[np.concatenate([[True], (w[1:] != w[:-1]) | (ids[1:] != ids[:-1])])]
+            for i in range(len(COLUMNS)):  # one column at a time, for memory
+                cols[i] = cols[i][order]
             start = starts_of(cols[0])
             run = np.diff(np.append(start, len(cols[0])))
             many = np.repeat((run > HEAVY) | np.isin(cols[0][start], leads[0]), run)
-            light = [c[~many] for c in cols]
             if not many.any():
+                light = cols
                 return
+            light = [c[~many] for c in cols]
             cols = [c[many] for c in cols]
             first = np.lexsort((cols[3], cols[0]))[starts_of(cols[0])]
             first = first[~np.isin(cols[0][first], leads[0])]
@@ -421,7 +429,7 @@ def meetings(blocks: DataFrame, buckets: int, threshold: float, questioned: np.n
                 n += len(waiting[-1][0])
                 if n >= 2 * BUCKET:
                     yield from fold()
-                    waiting, n = [], 0
+                    n = 0
         if n:
             yield from fold()
         # postings of a key by size: each meets the larger ones until they are too large
@@ -472,16 +480,15 @@ def meetings(blocks: DataFrame, buckets: int, threshold: float, questioned: np.n
     return dealt.mapInArrow(each, "early long, late long, word long, n int, at int, sig long")
 
 
-def needed_sets(docs: DataFrame, ids: DataFrame, first: DataFrame) -> DataFrame:
-    """(id, words): the whole sets named in ``ids``, read from the texts of their first places; filters of fixed size keep most others out."""
-    texts = filter_of(ids.join(first, "id").select(F.col("first.th").alias("th")))
-    shared = docs.sparkSession.sparkContext.broadcast((filter_of(ids.select("id")), texts))
+def needed_sets(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """(id, words): the whole sets named in ``places``, read from the texts of their first places; filters of fixed size keep most others out."""
+    bits = sieve(places, F.col("first.th"))
+    shared = docs.sparkSession.sparkContext.broadcast(filter_of(places.select("id")))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, texts = shared.value
+        wanted = shared.value
         for batch in batches:
-            some = np.flatnonzero(marked(texts, batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)))
-            for _, data, offsets in chunks(batch.take(pa.array(some))):
+            for _, data, offsets in chunks(batch):
                 words, line, rows, _ = line_sets(data, offsets)
                 got, size = set_ids(words, line, len(rows))
                 _, lead = np.unique(got, return_index=True)
@@ -492,16 +499,17 @@ def needed_sets(docs: DataFrame, ids: DataFrame, first: DataFrame) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum(size[want])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(got[want]), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["id", "words"])
 
-    sets = docs.select(F.xxhash64("text"), "text").mapInArrow(each, "id long, words array<long>")
+    sets = sifted(docs.select("text"), bits, F.xxhash64("text")).where("may").select("text").mapInArrow(each, "id long, words array<long>")
     return sets.groupBy("id").agg(F.first("words").alias("words"))
 
 
-def verified(docs: DataFrame, pairs: DataFrame, first: DataFrame, threshold: float) -> DataFrame:
-    """The distinct ``pairs`` (early, late) whose whole sets reach the threshold."""
+def verified(docs: DataFrame, pairs: DataFrame, first: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The distinct ``pairs`` (early, late) whose whole sets reach the threshold, and the rows of ``first`` that pairs name."""
     pairs = pairs.select(F.least("early", "late").alias("early"), F.greatest("early", "late").alias("late"))
     pairs = materialize(pairs.distinct(), "pairs")
     ids = pairs.select(F.col("early").alias("id")).union(pairs.select("late")).distinct()
-    sets = materialize(needed_sets(docs, ids, first), "sets")
+    places = materialize(first.join(ids, "id").select("id", "first"), "places")
+    sets = materialize(needed_sets(docs, places), "sets")
     a = sets.select(F.col("id").alias("early"), F.col("words").alias("wa"))
     b = sets.select(F.col("id").alias("late"), F.col("words").alias("wb"))
     both = pairs.join(a, "early").join(b, "late")
@@ -509,7 +517,7 @@ def verified(docs: DataFrame, pairs: DataFrame, first: DataFrame, threshold: flo
     out = materialize(both.where(common >= (F.size("wa") + F.size("wb") - common) * threshold - 1e-9).select("early", "late"), "near")
     drop_materialized(pairs)
     drop_materialized(sets)
-    return out
+    return out, places
 
 
 def later(links: DataFrame, first: DataFrame) -> DataFrame:
@@ -532,7 +540,7 @@ def near_repeats(docs: DataFrame, first: DataFrame, rank: np.ndarray, words: int
     """(id): the distinct sets that repeat an earlier set without being equal to it. ``first``: (id, first), the place of each set."""
     buckets = max(1, math.ceil(words * (1 - threshold) / BUCKET))
     met = materialize(meetings(prefix_postings(docs, rank, buckets, threshold), buckets, threshold), "met")
-    done = materialize(later(verified(docs, met.where("early IS NOT NULL").select("early", "late"), first, threshold), first), "done")
+    done = materialize(later(*verified(docs, met.where("early IS NOT NULL").select("early", "late"), first, threshold)), "done")
     asks = met.where("word IS NOT NULL").select(F.col("late").alias("id"), "word").distinct().join(done, "id", "left_anti")
     asks = materialize(asks, "asks")
     drop_materialized(met)
@@ -548,7 +556,7 @@ def near_repeats(docs: DataFrame, first: DataFrame, rank: np.ndarray, words: int
     b = heavy.join(sets, "id", "left_semi").select("word", F.explode(F.array(band - 1, band, band + 1)).alias("band"), *[F.col(x).alias(f"b_{x}") for x in ("id", "n", "at", "sig")])
     more = a.join(b, ["word", "band"]).where((F.col("a_id") != F.col("b_id")) & passes(threshold)).select(F.col("a_id").alias("early"), F.col("b_id").alias("late"))
     more = more.union(met.where("late IS NOT NULL").select("early", "late"))
-    out = materialize(done.union(later(verified(docs, more, first, threshold), first)).distinct(), "repeats")
+    out = materialize(done.union(later(*verified(docs, more, first, threshold))).distinct(), "repeats")
     drop_materialized(met)
     return out
 
@@ -577,19 +585,25 @@ def copies(docs: DataFrame) -> DataFrame:
     if not twice.limit(1).count():
         return slim.withColumn("again", F.lit(False))
     twice = materialize(twice, "twice")
-    same = slim["doc_id"].eqNullSafe(twice["__d"]) & (slim["th"] == twice["__t"])
-    ranked = slim.join(twice, same, "left_semi").withColumn("again", F.row_number().over(W.partitionBy("doc_id", "th").orderBy("th")) > 1)
-    return slim.join(twice, same, "left_anti").withColumn("again", F.lit(False)).union(ranked)
+    slim = sifted(slim, sieve(twice, F.xxhash64("__d", "__t")), F.xxhash64("doc_id", "th"))
+    some, rest = slim.where("may").drop("may"), slim.where("NOT may").drop("may")
+    same = some["doc_id"].eqNullSafe(twice["__d"]) & (some["th"] == twice["__t"])
+    ranked = some.join(twice, same, "left_semi").withColumn("again", F.row_number().over(W.partitionBy("doc_id", "th").orderBy("th")) > 1)
+    return rest.union(some.join(twice, same, "left_anti")).withColumn("again", F.lit(False)).union(ranked)
 
 
 def dedup(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """doc_id, text without repeated lines, n_lines and n_removed of every document."""
     ship(docs.sparkSession)
     gone = removed_lines(docs, threshold)
-    small = (gone.agg(F.sum(F.size("lines") + 8)).first()[0] or 0) <= BROADCAST
+    # only texts that may lose a line are shuffled to meet their lines
+    of = F.xxhash64("doc_id", "th")
+    slim = sifted(copies(docs), sieve(gone, of), of)
+    some = slim.where("may").drop("may")
     gone = gone.select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), "lines")
-    slim = copies(docs)
-    both = slim.join(F.broadcast(gone) if small else gone, slim["doc_id"].eqNullSafe(gone["__d"]) & (slim["th"] == gone["__t"]), "left")
+    met = some.join(gone, some["doc_id"].eqNullSafe(gone["__d"]) & (some["th"] == gone["__t"]), "left")
+    whole = slim.where("NOT may").withColumn("lines", F.lit(None).cast("array<int>"))
+    both = met.select("doc_id", "text", "again", "lines").union(whole.select("doc_id", "text", "again", "lines"))
     both = both.withColumn("parts", F.split("text", "\n", -1))
     wordy = f"filter(sequence(0, size(parts) - 1), i -> parts[i] RLIKE '{WORDY}')"
     both = both.withColumn("lines", F.expr(f"CASE WHEN again AND text IS NOT NULL THEN {wordy} ELSE lines END"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from chronolake.runtime import materialize
 
-BITS = 1 << 26
+BITS = 1900 << 15  # the broadcast table stays below 8 MiB, whatever is marked
 BLOCK = 1 << 15  # bits a row, those of bitmap_construct_agg
 
 

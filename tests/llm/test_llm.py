@@ -631,6 +631,17 @@ def test_texts_without_a_copy_are_not_shuffled(spark):
     assert moved < sum(map(len, texts)) / 4
 
 
+def test_texts_that_lose_no_line_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "BROADCAST", 0, raising=False)  # as with many removed lines
+    texts = large_texts(150)
+    docs = spark.createDataFrame([*enumerate(texts), (200, texts[3] + "\nof its own"), (7, texts[7]), (None, None)], "doc_id long, text string")
+    got = []
+    moved = shuffled_bytes(spark, lambda: got.extend(linededup.dedup(docs).collect()))
+    removed = Counter({(r.doc_id, r.text): r.n_removed for r in got if r.n_removed})
+    assert len(got) == 153 and removed == {(200, "of its own"): 1, (7, ""): 1}
+    assert moved < sum(map(len, texts)) / 4
+
+
 # ---- words and the pipeline
 
 
