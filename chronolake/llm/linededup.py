@@ -22,10 +22,11 @@ few rows; the number of buckets follows the number of words. Inside a key the ea
 that no other one is likely to explain leads: the sets that pass the filters with it are
 tried against it alone. A set that no leader explains meets the earlier sets of the key
 until one passes the filters, and is tried against that one. So a group of near copies costs
-a trial a set and key and not all its pairs. Sets whose trials all fail meet all sets of
-those keys in a second round, so no match is lost. A task reads its bucket in blocks
-and keeps at most ``HEAVY`` postings of a key; of a key with more it keeps a leader, and the
-second round joins its sets by key and band of sizes.
+a trial a set and key and not all its pairs. A key in which a set may have met only some of
+the earlier ones hands its postings on, one row each. Sets whose trials all fail meet all
+sets of those keys in a second round, a join of these rows by key and band of sizes, so no
+match is lost and no text is read for it. A task reads its bucket in blocks and keeps at most
+``HEAVY`` postings of a key; of a key with more it keeps a leader and hands on the rest.
 
 Words are 42-bit hashes and sets 64-bit hashes. Lines without words stay. Null texts have no
 lines and stay null. Of rows equal in id and text one is the earlier: the others lose every
@@ -43,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 from pyspark.sql.types import NumericType, StructType
 
-from chronolake.llm.textbytes import LOWER_WORD, chunks, mix, word_bounds, word_hashes
+from chronolake.llm.textbytes import BASE, LOWER_WORD, chunks, mix, word_bounds, word_hashes
 from chronolake.operators.sieve import sieve, sifted
 from chronolake.runtime import drop_materialized, materialize, ship
 
@@ -54,30 +55,51 @@ LINES = 1 << (64 - CODE)  # lines that fit beside a word in 64 bits
 RANKED = 1 << (56 - CODE)  # lines that fit beside a word and its rarity
 HEAVY = 1 << 14
 LEADS = 4  # leaders of a key
+PIVOTS = 16  # groups of a key that are told apart when it is handed on
 COMMON = 2048
 LONG = 256
 FLUSH = 1 << 19  # postings that a task gathers before it packs them
 BUCKET = 1 << 19  # postings a bucket, about
-BITS = 1 << 26  # of the filter for the sets that verification needs
+BITS = 1 << 26  # of the filter for the lines that verification needs
+SHORT = 64  # bytes of a word that is hashed eight bytes at a time
 NARROW = 64  # words of a set that 64 bits tell from others; larger sets have 256
 POSTING = (("w", "<u4"), ("n", "<u4"), ("at", "<u4"), ("d", "<f4"), ("id", "<i8"), ("sig", "<u8"))
 WIDE = (("x0", "<u8"), ("x1", "<u8"), ("x2", "<u8"))  # of sets of over NARROW words
 COLUMNS = POSTING + WIDE
+FOLD = LOWER_WORD.tobytes()
 WORDY = "[0-9A-Za-z\\\\x{80}-\\\\x{10FFFF}]"
 
 
+def codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word's bytes: eight at a time up to ``SHORT``, else by running sums. No byte of a word is 0."""
+    size = ends - starts
+    at = np.ndarray(len(data), "<u8", np.append(data, np.zeros(8, np.uint8)), strides=(1,))  # eight bytes from each place
+    left = (8 * np.minimum(size, 8)).astype(np.uint64)
+    out = (at[starts] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - left))) * BASE
+    for done in range(8, SHORT, 8):
+        more = np.flatnonzero((size > done) & (size <= SHORT))
+        if not len(more):
+            break
+        left = (8 * np.minimum(size[more] - done, 8)).astype(np.uint64)
+        out[more] = (mix(out[more]) ^ (at[starts[more] + done] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - left)))) * BASE
+    out = mix(out)
+    large = np.flatnonzero(size > SHORT)
+    if len(large):
+        out[large] = word_hashes(data, starts[large], ends[large])
+    return out
+
+
 def line_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct words of every line of a chunk: codes and their lines (both ascending); row and number of each line."""
-    at_break = data == 10
-    breaks = np.flatnonzero(at_break)
+    breaks = np.flatnonzero(data == 10)
     lines = np.bincount(np.searchsorted(offsets, breaks, "right") - 1, minlength=len(offsets) - 1) + 1
     first = np.cumsum(lines) - lines
     rows = np.repeat(np.arange(len(lines)), lines)
     number = np.arange(len(rows)) - first[rows]
-    folded = LOWER_WORD[data]
+    folded = np.frombuffer(data.tobytes().translate(FOLD), np.uint8)
     starts, ends, word_row = word_bounds(folded, offsets, None)
-    line = np.cumsum(at_break, dtype=np.int32)[starts] + word_row
-    code = word_hashes(folded, starts, ends) >> np.uint64(64 - CODE)
+    line = np.cumsum(np.bincount(np.searchsorted(starts, breaks), minlength=len(starts))[: len(starts)]) + word_row
+    code = codes(folded, starts, ends) >> np.uint64(64 - CODE)
     if len(rows) <= LINES:
         key = (line.astype(np.uint64) << np.uint64(CODE)) | code
         key.sort()
@@ -107,9 +129,9 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """One pass over the texts: (doc_id, th, line, id) of every line with words, and rows (block, counts) of word counts a task."""
+    """One pass over the texts: (doc_id, th, line, id, head) of every line with words, and rows (block, counts) of word counts a task. ``head``: the text's first such line."""
     slim = keyed(docs)
-    schema = StructType().add("doc_id", docs.schema["doc_id"].dataType).add("th", "long").add("line", "integer").add("id", "long").add("block", "integer").add("counts", "binary")
+    schema = StructType().add("doc_id", docs.schema["doc_id"].dataType).add("th", "long").add("line", "integer").add("id", "long").add("head", "boolean").add("block", "integer").add("counts", "binary")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, of = np.zeros(SLOTS, np.int64), None
@@ -123,11 +145,13 @@ def scanned(docs: DataFrame) -> DataFrame:
                 ids, size = set_ids(words, line, len(rows))
                 some = np.flatnonzero(size)
                 at, none = pa.array(rows[some]), len(some)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(number[some].astype(np.int32)), pa.array(ids[some]), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())], names=schema.names)
+                head = np.zeros(none, bool)
+                head[starts_of(rows[some])] = True
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(number[some].astype(np.int32)), pa.array(ids[some]), pa.array(head), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())], names=schema.names)
         if total.any():
             parts = [(b // BLOCK, zlib.compress(total[b : b + BLOCK].astype("<i8").tobytes(), 1)) for b in range(0, SLOTS, BLOCK)]
             n = len(parts)
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, of), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.array([b for b, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, of), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.array([b for b, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=schema.names)
 
     return slim.mapInArrow(each, schema)
 
@@ -199,7 +223,7 @@ def rare_first(words: np.ndarray, line: np.ndarray, rank: np.ndarray) -> tuple[n
 def packed(found: dict[str, np.ndarray], buckets: int) -> Iterator[tuple[int, bytes]]:
     """The postings of each bucket as one block: a column after the other, ordered by word."""
     bucket = found["w"] % np.uint32(buckets)
-    order = np.lexsort((found["w"], bucket))
+    order = np.argsort((bucket.astype(np.uint64) << np.uint64(32)) | found["w"])
     cuts = np.flatnonzero(np.diff(bucket[order])) + 1
     cols = [found[name].astype(kind)[order] for name, kind in COLUMNS]
     large = cols[1] > NARROW
@@ -222,19 +246,24 @@ def unpacked(block: bytes) -> list[np.ndarray]:
     return out
 
 
-def prefix_postings(docs: DataFrame, rank: np.ndarray, buckets: int, threshold: float, only: np.ndarray | None = None) -> DataFrame:
-    """(bucket, block): packed postings of the prefixes of all distinct sets of each chunk; of keys in the filter ``only``."""
+def prefix_postings(docs: DataFrame, rank: np.ndarray, buckets: int, threshold: float) -> DataFrame:
+    """(bucket, block): packed postings of the prefixes of all distinct sets of each chunk."""
     slim = keyed(docs)
     numeric = isinstance(docs.schema["doc_id"].dataType, NumericType)
-    shared = docs.sparkSession.sparkContext.broadcast((rank, only))  # SLOTS bytes and a filter, whatever the input
+    shared = docs.sparkSession.sparkContext.broadcast(rank)  # SLOTS bytes, whatever the input
 
-    def of_chunk(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, rank: np.ndarray, only: np.ndarray | None) -> dict[str, np.ndarray]:
+    def of_chunk(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, rank: np.ndarray) -> dict[str, np.ndarray]:
         words, line, rows, _ = line_sets(data, offsets)
         ids, size = set_ids(words, line, len(rows))
-        # one line of the chunk stands for its set; sets too small to have a partner but themselves are out
-        _, lead = np.unique(ids, return_index=True)
+        order = np.zeros(part.num_rows, np.float32)
+        if numeric:
+            order = part.column(0).cast(pa.float64(), safe=False).fill_null(-np.inf).to_numpy(zero_copy_only=False).astype(np.float32)
+            order = np.where(np.isnan(order), np.float32(np.inf), order)
+        # the earliest line of the chunk stands for its set; sets too small to have a partner but themselves are out
+        by = np.arange(len(rows)) if (order[1:] >= order[:-1]).all() else np.argsort(order[rows], kind="stable")
+        _, lead = np.unique(ids[by], return_index=True)
         use = np.zeros(len(rows), bool)
-        use[lead] = True
+        use[by[lead]] = True
         use &= size >= math.ceil(1 / (1 - threshold) - 1e-9) - 1
         pick = use[line]
         words, line = words[pick], line[pick]
@@ -254,17 +283,11 @@ def prefix_postings(docs: DataFrame, rank: np.ndarray, buckets: int, threshold:
             keys.append(mix(words[first] * np.uint64(0x9E3779B97F4A7C15) ^ words[first + step]) >> np.uint64(32))
             spots.append(first)
         keys, spots = np.concatenate(keys), np.concatenate(spots)
-        if only is not None:
-            want = marked(only, keys)
-            keys, spots = keys[want], spots[want]
         line, at = line[spots], at[spots]
         use[:] = False
         use[line] = True
         pick = use[whole[1]]
         sigs = signatures(whole[0][pick], whole[1][pick], size)
-        order = np.zeros(part.num_rows, np.float32)
-        if numeric:
-            order = part.column(0).cast(pa.float64(), safe=False).fill_null(-np.inf).to_numpy(zero_copy_only=False).astype(np.float32)
         return {"w": keys.astype(np.uint32), "n": size[line], "at": at, "d": order[rows[line]], "id": ids[line]} | {name: sig[line] for (name, _), sig in zip(COLUMNS[5:], sigs)}
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,7 +299,7 @@ def prefix_postings(docs: DataFrame, rank: np.ndarray, buckets: int, threshold:
 
         for batch in batches:
             for part, data, offsets in chunks(batch):
-                found = of_chunk(part, data, offsets, *shared.value)
+                found = of_chunk(part, data, offsets, shared.value)
                 waiting.append(found)
                 n += len(found["w"])
                 if n >= FLUSH:
@@ -313,13 +336,19 @@ def marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
 
-def filter_of(keys: DataFrame) -> np.ndarray:
-    """A packed filter of fixed size of a column of longs; it holds all of them, and others by chance."""
+def spot(text: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """A number of each line: of its text's hash and its own number."""
+    return mix(text.view(np.uint64) ^ mix(line.astype(np.uint64) + np.uint64(1)))
+
+
+def filter_of(lines: DataFrame) -> np.ndarray:
+    """A packed filter of fixed size of (hash of the text, number of the line); it holds all of them, and others by chance."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = np.zeros(BITS // 8, np.uint8)
         for batch in batches:
-            at = (mix(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)) & np.uint64(BITS - 1)).astype(np.int64)
+            text, line = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            at = (mix(spot(text, line)) & np.uint64(BITS - 1)).astype(np.int64)
             np.bitwise_or.at(packed, at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8))
         for b in range(0, len(packed), 1 << 16):
             some = packed[b : b + (1 << 16)]
@@ -327,22 +356,26 @@ def filter_of(keys: DataFrame) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array([b >> 16], pa.int32()), pa.array([zlib.compress(some.tobytes(), 1)], pa.binary())], names=["block", "bits"])
 
     found = np.zeros(BITS // 8, np.uint8)
-    marks = keys.coalesce(8).mapInArrow(mark, "block int, bits binary")
+    marks = lines.coalesce(8).mapInArrow(mark, "block int, bits binary")
     for block, piece in marks.toLocalIterator():  # eight tasks at most, a filter each
         found[block << 16 : (block + 1) << 16] |= np.frombuffer(zlib.decompress(piece), np.uint8)
     return found
 
 
-NAMES = ["early", "late", "word", "n", "at", "sig"]
+MET = "early long, late long, word long, n int, at int, d float, sig long, asks boolean"
+NAMES = [x.split()[0] for x in MET.split(", ")]
+
+
+def pair_rows(early: np.ndarray, late: np.ndarray) -> pa.RecordBatch:
+    """Rows of candidate pairs."""
+    rest = [pa.nulls(len(late), t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.float32(), pa.int64(), pa.bool_())]
+    return pa.RecordBatch.from_arrays([pa.array(early), pa.array(late), *rest], names=NAMES)
 
 
-def rows_of(early: np.ndarray | None, late: np.ndarray | None, word: np.ndarray | None = None, cols: list[np.ndarray] | None = None) -> pa.RecordBatch:
-    n = len(early if early is not None else late)
-    rest = [pa.nulls(n, t) for t in (pa.int32(), pa.int32(), pa.int64())]
-    if cols is not None:
-        rest = [pa.array(cols[1].astype(np.int32)), pa.array(cols[2].astype(np.int32)), pa.array(cols[5].view(np.int64))]
-    some = [pa.nulls(n, pa.int64()) if x is None else pa.array(x.astype(np.int64)) for x in (early, late, word)]
-    return pa.RecordBatch.from_arrays([*some, *rest], names=NAMES)
+def posting_rows(cols: list[np.ndarray], asks: np.ndarray) -> pa.RecordBatch:
+    """Rows of postings, and whether they ask."""
+    cast = [cols[4], cols[0].astype(np.int64), cols[1].astype(np.int32), cols[2].astype(np.int32), cols[3], cols[5].view(np.int64)]
+    return pa.RecordBatch.from_arrays([pa.nulls(len(asks), pa.int64()), *map(pa.array, cast), pa.array(asks)], names=NAMES)
 
 
 def starts_of(key: np.ndarray) -> np.ndarray:
@@ -356,12 +389,14 @@ def lead(cols: list[np.ndarray], threshold: float) -> tuple[np.ndarray, list[tup
     run = np.diff(np.append(starts_of(word), len(word)))
     key = np.repeat(np.arange(len(run)), run)
     open_ = np.flatnonzero((run > 2)[key])
+    bits = order.view(np.uint32)
+    early = np.where(bits >> np.uint32(31), ~bits, bits | np.uint32(1 << 31)).astype(np.uint64) << np.uint64(32)  # ascends with ``order``
+    early |= np.arange(len(order), dtype=np.uint64)
     for _ in range(LEADS):
         open_ = open_[~(explained[open_] | led[open_])]
         if not len(open_):
             break
-        by = open_[np.lexsort((order[open_], key[open_]))]
-        first = by[starts_of(key[by])]
+        first = (np.minimum.reduceat(early[open_], starts_of(key[open_])) & np.uint64(0xFFFFFFFF)).astype(np.int64)
         of_key = np.full(len(run), -1)
         of_key[key[first]] = first
         led[first] = True
@@ -373,31 +408,71 @@ def lead(cols: list[np.ndarray], threshold: float) -> tuple[np.ndarray, list[tup
     return explained, pairs
 
 
-def meetings(blocks: DataFrame, buckets: int, threshold: float, questioned: np.ndarray | None = None) -> DataFrame:
-    """Candidate pairs (early, late) of each key, ``early`` being the earlier set or one as early.
+def partners(cols: list[np.ndarray], tried: np.ndarray, threshold: float) -> np.ndarray:
+    """The postings ``tried`` and, of their keys, all that may pass the filters with one of them and are no later; others by chance. ``cols`` are ordered by key.
 
-    First round: a row with a ``word`` says that ``late`` has not met all earlier sets of that
-    key (``early``, if any, is its leader). Second round (``questioned``: a filter of the sets in
-    question): all pairs of those sets; rows without ``late`` are the postings of heavy keys.
+    Signatures have the triangle inequality: what is near a tried set is not far from a pivot near that set.
     """
+    start = starts_of(cols[0])
+    of = np.flatnonzero(np.repeat(np.logical_or.reduceat(tried, start), np.diff(np.append(start, len(tried))))) if len(start) else start
+    keep = np.zeros(len(tried), bool)
+    left, share = tried.copy(), (1 - threshold) / (1 + threshold)
+    for _ in range(PIVOTS):
+        if not len(of):
+            break
+        start = starts_of(cols[0][of])
+        run = np.diff(np.append(start, len(of)))
+        spread = lambda x: np.repeat(x, run)  # noqa: B023, E731
+        n, d, mine = cols[1][of].astype(np.int64), cols[3][of], left[of]
+        pivot = of[spread(np.minimum.reduceat(np.where(mine, np.arange(len(of)), len(of)), start))]
+        far = np.bitwise_count(cols[5][of] ^ cols[5][pivot]).astype(np.int64)
+        # all that fits a set of this size is over NARROW
+        wide = cols[1][pivot] * threshold > NARROW
+        large = np.flatnonzero(wide & (n > NARROW))
+        if len(large):
+            a, b = of[large], pivot[large]
+            rest, apart = cols[5][a] ^ cols[5][b], np.zeros(len(large), np.int64)
+            for i in range(len(POSTING), len(COLUMNS)):
+                differ = cols[i][a] ^ cols[i][b]
+                rest ^= differ
+                apart += np.bitwise_count(differ)
+            far[large] = apart + np.bitwise_count(rest)
+        near = mine & (far <= (n + cols[1][pivot]) * share) & (~wide | (n * threshold > NARROW))
+        radius, most = np.maximum.reduceat(np.where(near, far, 0), start), np.maximum.reduceat(np.where(near, n, 0), start)
+        least, last = np.minimum.reduceat(np.where(near, n, 1 << 40), start), np.maximum.reduceat(np.where(near, d, np.float32(-np.inf)), start)
+        ok = (far <= (n + spread(most)) * share + spread(radius) + 1e-6) & (d <= spread(last))
+        ok &= (n >= spread(least) * threshold - 1e-6) & (n * threshold <= spread(most) + 1e-6) & (~wide | (n > NARROW))
+        keep[of[ok]] = True
+        left[of[near]] = False
+        of = of[spread(np.logical_or.reduceat(left[of], start))]
+    keep[of] = True  # too many groups in a key: all of it
+    return np.flatnonzero(keep | tried)
+
+
+def meetings(blocks: DataFrame, buckets: int, threshold: float) -> DataFrame:
+    """Candidate pairs (early, late) of each key, ``early`` being the earlier set or one as early.
 
-    shared = blocks.sparkSession.sparkContext.broadcast(questioned)  # a filter of fixed size
+    Rows with a ``word`` are the postings (``late``) of keys in which some set has not met all
+    earlier ones; those sets ask.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        again = shared.value
         light = [np.zeros(0, kind) for _, kind in COLUMNS]
         leads = [np.zeros(0, kind) for _, kind in COLUMNS]  # one posting of each heavy key
         waiting, n = [], 0
 
-        def pairs_of(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-            return rows_of(light[4][a], light[4][b], light[0][b] if again is None else None)
-
         def fold() -> Iterator[pa.RecordBatch]:
             nonlocal light, leads
             cols = [np.concatenate([light[i], *[x[i] for x in waiting]]) for i in range(len(COLUMNS))]
             light = []
             waiting.clear()
-            order = np.lexsort((cols[2], cols[3], cols[4], cols[0]))  # of a set's equal keys the earliest and foremost stays
+            half = (cols[0].astype(np.uint64) << np.uint64(32)) | (cols[4].view(np.uint64) >> np.uint64(32))
+            order = np.argsort(half)
+            same = half[order[1:]] == half[order[:-1]]
+            tie = np.flatnonzero(np.append(same, False) | np.append(False, same))
+            some = order[tie]
+            order[tie] = some[np.lexsort((cols[2][some], cols[3][some], cols[4][some], half[some]))]
+            # of a set's equal keys the earliest and foremost stays
             w, ids = cols[0][order], cols[4][order]
             order = order[np.concatenate([[True], (w[1:] != w[:-1]) | (ids[1:] != ids[:-1])])]
             for i in range(len(COLUMNS)):  # one column at a time, for memory
@@ -415,13 +490,10 @@ def meetings(blocks: DataFrame, buckets: int, threshold: float, questioned: np.n
             leads = [np.concatenate([x, c[first]]) for x, c in zip(leads, cols)]
             by = np.argsort(leads[0], kind="stable")
             leads = [x[by] for x in leads]
-            if again is not None:
-                yield rows_of(cols[4], None, cols[0], cols)
-                return
             head = np.searchsorted(leads[0], cols[0])
             ok = fits(leads, head, cols, np.arange(len(head)), threshold) & (leads[4][head] != cols[4])
-            yield rows_of(leads[4][head[ok]], cols[4][ok], cols[0][ok])
-            yield rows_of(None, cols[4][~ok], cols[0][~ok])
+            yield pair_rows(leads[4][head[ok]], cols[4][ok])
+            yield posting_rows(cols, np.ones(len(head), bool))
 
         for batch in batches:
             for block in batch.column(1):
@@ -432,30 +504,33 @@ def meetings(blocks: DataFrame, buckets: int, threshold: float, questioned: np.n
                     n = 0
         if n:
             yield from fold()
+        # a key of one set has no pair
+        run = np.diff(np.append(starts_of(light[0]), len(light[0])))
+        some = np.flatnonzero(np.repeat(run > 1, run))
+        if not len(some):
+            return
         # postings of a key by size: each meets the larger ones until they are too large
-        order = np.lexsort((light[1], light[0]))
-        light = [c[order] for c in light]
-        if again is None:
-            explained, pairs = lead(light, threshold)
-            for a, b in pairs:
-                yield rows_of(light[4][a], light[4][b], light[0][b])
-            asks = ~explained
-        else:
-            asks = marked(again, light[4].view(np.uint64))
+        some = some[np.argsort((light[0][some].astype(np.uint64) << np.uint64(32)) | light[1][some])]
+        for i in range(len(COLUMNS)):
+            light[i] = light[i][some]
+        explained, pairs = lead(light, threshold)
+        for a, b in pairs:
+            yield pair_rows(light[4][a], light[4][b])
+        asks, tried = ~explained, explained.copy()
         # keys in which some set but the earliest asks
         start = starts_of(light[0])
-        run = np.diff(np.append(start, len(order)))
-        least = np.minimum.reduceat(light[3], start) if len(start) else light[3]
+        run = np.diff(np.append(start, len(some)))
+        least = np.minimum.reduceat(light[3], start)
         # a set as early as the earliest may have to meet it: ties ask too
-        alone = np.repeat(np.add.reduceat(light[3] == np.repeat(least, run), start) == 1, run) if len(start) else asks
+        alone = np.repeat(np.add.reduceat(light[3] == np.repeat(least, run), start) == 1, run)
         later_asks = asks & ~(alone & (light[3] == np.repeat(least, run)))
-        alive = np.repeat(np.logical_or.reduceat(later_asks, start), run) if len(start) else asks
+        alive = np.repeat(np.logical_or.reduceat(later_asks, start), run)
         need = np.ceil(light[1] * (2 * threshold / (1 + threshold)) - 1e-9)
         near, step = np.flatnonzero(alive & (light[2] < light[1] - need + 1)), 0
         early, late = [], []
         while len(near):
             step += 1
-            near = near[near + step < len(order)]
+            near = near[near + step < len(some)]
             near = near[(light[0][near] == light[0][near + step]) & (light[1][near] >= light[1][near + step] * threshold - 1e-9)]
             if step % 8 == 0 and len(near):
                 near = near[np.repeat(np.logical_or.reduceat(asks, start), run)[near]]
@@ -468,38 +543,51 @@ def meetings(blocks: DataFrame, buckets: int, threshold: float, questioned: np.n
                 ok = fits(light, a, light, b, threshold)
                 early.append(np.where(a_asks, b, a)[ok])
                 late.append(np.where(a_asks, a, b)[ok])
-                if again is None:  # one trial a set and key; those that fail ask again
-                    asks[late[-1]] = False
+                asks[late[-1]] = False  # one trial a set and key; those that fail ask again
+                tried[late[-1]] = True
             if sum(map(len, late)) > 1 << 20:
-                yield pairs_of(np.concatenate(early), np.concatenate(late))
+                yield pair_rows(light[4][np.concatenate(early)], light[4][np.concatenate(late)])
                 early, late = [], []
         if late:
-            yield pairs_of(np.concatenate(early), np.concatenate(late))
+            yield pair_rows(light[4][np.concatenate(early)], light[4][np.concatenate(late)])
+        # a set that was tried against one of several has not met all; what it may still have to meet goes on
+        tried &= np.repeat(run > 2, run)
+        rest = partners(light, tried, threshold)
+        if len(rest):
+            yield posting_rows([c[rest] for c in light], tried[rest])
 
-    dealt = blocks.repartitionById(buckets, F.col("bucket"))
-    return dealt.mapInArrow(each, "early long, late long, word long, n int, at int, sig long")
+    return blocks.repartitionById(buckets, F.col("bucket")).mapInArrow(each, MET)
 
 
 def needed_sets(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """(id, words): the whole sets named in ``places``, read from the texts of their first places; filters of fixed size keep most others out."""
+    """(id, words): the whole sets whose first places are ``places``, read from those lines alone; filters of fixed size keep most others out."""
     bits = sieve(places, F.col("first.th"))
-    shared = docs.sparkSession.sparkContext.broadcast(filter_of(places.select("id")))
+    shared = docs.sparkSession.sparkContext.broadcast(filter_of(places.select("first.th", "first.line")))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = shared.value
         for batch in batches:
-            for _, data, offsets in chunks(batch):
-                words, line, rows, _ = line_sets(data, offsets)
+            for part, data, offsets in chunks(batch):
+                breaks = np.flatnonzero(data == 10)
+                of = np.searchsorted(offsets, breaks, "right") - 1
+                lines = np.bincount(of, minlength=len(offsets) - 1) + 1
+                first = np.cumsum(lines) - lines
+                rows = np.repeat(np.arange(len(lines)), lines)
+                start, end = offsets[rows], offsets[rows + 1]
+                after = np.arange(len(breaks)) + of + 1  # the line after each break
+                start[after], end[after - 1] = breaks + 1, breaks
+                want = np.flatnonzero(marked(wanted, spot(part.column(0).to_numpy()[rows], np.arange(len(rows)) - first[rows])) & (end > start))
+                if not len(want):
+                    continue
+                some = np.frombuffer(b"\n".join([data[a:b] for a, b in zip(start[want].tolist(), end[want].tolist())]), np.uint8)
+                words, line, rows, _ = line_sets(some, np.array([0, len(some)]))
                 got, size = set_ids(words, line, len(rows))
-                _, lead = np.unique(got, return_index=True)
-                want = np.zeros(len(rows), bool)
-                want[lead] = marked(wanted, got[lead].view(np.uint64))
-                want &= size > 0
-                values = words[want[line]].view(np.int64)
-                ends = np.concatenate([[0], np.cumsum(size[want])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(got[want]), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["id", "words"])
-
-    sets = sifted(docs.select("text"), bits, F.xxhash64("text")).where("may").select("text").mapInArrow(each, "id long, words array<long>")
+                keep = size > 0
+                ends = np.concatenate([[0], np.cumsum(size[keep])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(got[keep]), pa.ListArray.from_arrays(pa.array(ends), pa.array(words.view(np.int64)))], names=["id", "words"])
+
+    texts = docs.select(F.xxhash64("text").alias("th"), "text")
+    sets = sifted(texts, bits, F.col("th")).where("may").select("th", "text").mapInArrow(each, "id long, words array<long>")
     return sets.groupBy("id").agg(F.first("words").alias("words"))
 
 
@@ -536,55 +624,59 @@ def passes(threshold: float) -> Column:
     return (F.least(na, nb) >= F.greatest(na, nb) * threshold - 1e-9) & (1 + F.least(na - ia - 1, nb - ib - 1) >= need) & (apart <= na + nb - 2 * need)
 
 
-def near_repeats(docs: DataFrame, first: DataFrame, rank: np.ndarray, words: int, threshold: float = 0.8) -> DataFrame:
-    """(id): the distinct sets that repeat an earlier set without being equal to it. ``first``: (id, first), the place of each set."""
-    buckets = max(1, math.ceil(words * (1 - threshold) / BUCKET))
-    met = materialize(meetings(prefix_postings(docs, rank, buckets, threshold), buckets, threshold), "met")
+def near_repeats(docs: DataFrame, met: DataFrame, first: DataFrame, threshold: float) -> DataFrame:
+    """(id): the distinct sets that repeat an earlier set without being equal to it. ``first``: (id, first), the places of all sets that ``met`` names."""
     done = materialize(later(*verified(docs, met.where("early IS NOT NULL").select("early", "late"), first, threshold)), "done")
-    asks = met.where("word IS NOT NULL").select(F.col("late").alias("id"), "word").distinct().join(done, "id", "left_anti")
-    asks = materialize(asks, "asks")
-    drop_materialized(met)
+    posts = met.where("word IS NOT NULL").withColumnRenamed("late", "id")
+    asks = materialize(posts.where("asks").join(done, "id", "left_anti"), "asks")
     if not asks.limit(1).count():
         return done
-    sets = asks.select("id").distinct()
-    again = filter_of(sets)
-    met = materialize(meetings(prefix_postings(docs, rank, buckets, threshold, filter_of(asks.select("word"))), buckets, threshold, again), "met")
-    heavy = met.where("late IS NULL").select(F.col("early").alias("id"), "word", "n", "at", "sig")
     # sizes that reach the threshold lie in the same band or in neighbouring ones
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / threshold) + 1e-9)
-    a = heavy.select("word", band.alias("band"), *[F.col(x).alias(f"a_{x}") for x in ("id", "n", "at", "sig")])
-    b = heavy.join(sets, "id", "left_semi").select("word", F.explode(F.array(band - 1, band, band + 1)).alias("band"), *[F.col(x).alias(f"b_{x}") for x in ("id", "n", "at", "sig")])
-    more = a.join(b, ["word", "band"]).where((F.col("a_id") != F.col("b_id")) & passes(threshold)).select(F.col("a_id").alias("early"), F.col("b_id").alias("late"))
-    more = more.union(met.where("late IS NOT NULL").select("early", "late"))
-    out = materialize(done.union(later(*verified(docs, more, first, threshold))).distinct(), "repeats")
-    drop_materialized(met)
-    return out
+
+    def named(side: str) -> list[Column]:
+        return [F.col(x).alias(f"{side}_{x}") for x in ("id", "n", "at", "d", "sig")]
+
+    # only postings that may be of a key in question are shuffled
+    a = sifted(posts, sieve(asks, F.xxhash64("word")), F.xxhash64("word")).where("may").select("word", band.alias("band"), *named("a"))
+    b = asks.select("word", F.explode(F.array(band - 1, band, band + 1)).alias("band"), *named("b"))
+    more = a.join(b, ["word", "band"]).where((F.col("a_id") != F.col("b_id")) & (F.col("a_d") <= F.col("b_d")) & passes(threshold))
+    more = more.select(F.col("a_id").alias("early"), F.col("b_id").alias("late"))
+    return materialize(done.union(later(*verified(docs, more, first, threshold))).distinct(), "repeats")
 
 
-def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(doc_id, th, lines): sorted numbers of the lines that go, for each document that loses any."""
+def removed_lines(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, th, lines): sorted numbers of the lines that go, for each document that loses any; (doc_id, th) of the rows with words that are there more than once."""
     scan = materialize(scanned(docs), "lines")
     rank, words = rarity(scan.where("block IS NOT NULL"))
     lines = scan.where("block IS NULL").select("doc_id", "th", "line", "id")
+    again = materialize(scan.where("head").groupBy("doc_id", "th").count().where("count > 1").select("doc_id", "th"), "again")
+    twice = materialize(lines.groupBy("id").count().where("count > 1").select("id"), "twice")
+    buckets = max(1, math.ceil(words * (1 - threshold) / BUCKET))
+    met = materialize(meetings(prefix_postings(docs, rank, buckets, threshold), buckets, threshold), "met")
+    # sets of one line that met no other are of no concern any more
+    ids = met.where("early IS NOT NULL").select(F.col("early").alias("id")).union(met.select("late")).union(twice).distinct()
+    some = materialize(sifted(lines, sieve(ids, F.xxhash64("id")), F.xxhash64("id")).where("may").drop("may"), "some")
+    drop_materialized(scan)
     place = F.struct("doc_id", "th", "line")
-    first = materialize(lines.groupBy("id").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")), "first")
-    near = near_repeats(docs, first, rank, words, threshold).withColumn("near", F.lit(True))
-    # sets of one line that repeat nothing are of no concern any more
-    fate = first.join(near, "id", "left").where("c > 1 OR near").select("id", "first", "near")
-    gone = lines.join(fate, "id").where((place != F.col("first")) | F.coalesce("near", F.lit(False)))
+    first = materialize(some.groupBy("id").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")), "first")
+    near = near_repeats(docs, met, first, threshold)
+    drop_materialized(met)
+    # all lines of a set that repeats another go, and all but the first of any other
+    fate = first.where("c > 1").select("id", "first").union(near.select("id", F.lit(None).cast(first.schema["first"].dataType)))
+    gone = some.join(fate, "id").where(F.col("first").isNull() | (place != F.col("first")))
     out = materialize(gone.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("line")).alias("lines")), "gone")
-    drop_materialized(scan)
+    drop_materialized(some)
     drop_materialized(first)
-    return out
+    return out, again
 
 
-def copies(docs: DataFrame) -> DataFrame:
-    """doc_id, th, text and ``again``: whether the row repeats another one, equal in id and text, that counts as the earlier."""
+def copies(docs: DataFrame, twice: DataFrame) -> DataFrame:
+    """doc_id, th, text and ``again``: whether the row repeats another one, equal in id and text, that counts as the earlier. ``twice``: (doc_id, th) of such rows."""
     slim = keyed(docs)
-    twice = slim.groupBy("doc_id", "th").count().where("count > 1").select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"))
     if not twice.limit(1).count():
         return slim.withColumn("again", F.lit(False))
-    twice = materialize(twice, "twice")
+    twice = twice.select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"))
     slim = sifted(slim, sieve(twice, F.xxhash64("__d", "__t")), F.xxhash64("doc_id", "th"))
     some, rest = slim.where("may").drop("may"), slim.where("NOT may").drop("may")
     same = some["doc_id"].eqNullSafe(twice["__d"]) & (some["th"] == twice["__t"])
@@ -595,22 +687,24 @@ def copies(docs: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """doc_id, text without repeated lines, n_lines and n_removed of every document."""
     ship(docs.sparkSession)
-    gone = removed_lines(docs, threshold)
+    gone, twice = removed_lines(docs, threshold)
     # only texts that may lose a line are shuffled to meet their lines
     of = F.xxhash64("doc_id", "th")
-    slim = sifted(copies(docs), sieve(gone, of), of)
+    slim = sifted(copies(docs, twice), sieve(gone, of), of)
     some = slim.where("may").drop("may")
-    gone = gone.select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), "lines")
+    gone = gone.select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), "lines").hint("shuffle_hash")  # texts need no order
     met = some.join(gone, some["doc_id"].eqNullSafe(gone["__d"]) & (some["th"] == gone["__t"]), "left")
     whole = slim.where("NOT may").withColumn("lines", F.lit(None).cast("array<int>"))
     both = met.select("doc_id", "text", "again", "lines").union(whole.select("doc_id", "text", "again", "lines"))
-    both = both.withColumn("parts", F.split("text", "\n", -1))
+    parts = F.split("text", "\n", -1)
     wordy = f"filter(sequence(0, size(parts) - 1), i -> parts[i] RLIKE '{WORDY}')"
+    both = both.withColumn("parts", F.when(F.col("again") | F.col("lines").isNotNull(), parts))
     both = both.withColumn("lines", F.expr(f"CASE WHEN again AND text IS NOT NULL THEN {wordy} ELSE lines END"))
     kept = F.expr("array_join(transform(array_except(sequence(0, size(parts) - 1), lines), i -> parts[i]), '\\n')")
+    breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
     return both.select(
         "doc_id",
         F.when(F.col("lines").isNull(), F.col("text")).otherwise(kept).alias("text"),
-        F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("parts")).cast("long").alias("n_lines"),
+        F.when(F.col("text").isNull(), F.lit(0)).otherwise(breaks + 1).cast("long").alias("n_lines"),
         F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_removed"),
     )

@@ -319,6 +319,43 @@ def test_line_dedup_is_exact(spark, monkeypatch, heavy, common, long):
     assert got == dedup_plainly(docs)
 
 
+def test_second_round_reads_no_text_and_order_of_rows_is_free(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "COMMON", 2)
+    calls, postings = [], linededup.prefix_postings
+    monkeypatch.setattr(linededup, "prefix_postings", lambda *a: calls.append(1) or postings(*a))
+    rng = np.random.default_rng(6)
+    lines = [list(rng.choice([f"w{i}" for i in range(60)], 11, replace=False)) for _ in range(12)]
+    docs = []
+    for i in range(160):
+        line = list(lines[int(rng.integers(0, 12))])
+        for j in rng.choice(11, int(rng.integers(0, 4)), replace=False):
+            line[j] = f"w{int(rng.integers(0, 60))}"
+        docs.append((i, " ".join(line)))
+    rows = spark.createDataFrame([docs[i] for i in rng.permutation(160)], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: (r.text, r.n_lines) for r in linededup.dedup(rows).collect()}
+    assert got == {i: (text, 1) for i, text in dedup_plainly(docs).items()}
+    assert len(calls) == 1
+
+
+def test_partners_of_a_tried_set_are_all_handed_on(monkeypatch):
+    rng = np.random.default_rng(1)
+    for narrow, pivots in ((8, 1), (8, 5), (64, 1), (64, 3)) * 20:
+        monkeypatch.setattr(linededup, "NARROW", narrow)
+        monkeypatch.setattr(linededup, "PIVOTS", pivots)
+        base = [rng.integers(0, 1 << 40, int(rng.integers(5, 25))).astype(np.uint64) for _ in range(6)]
+        sets = [base[int(rng.integers(0, 6))].copy() for _ in range(50)]
+        for x in sets:
+            x[rng.integers(0, len(x), 2)] = rng.integers(0, 1 << 40, 2).astype(np.uint64)
+        size = np.array([len(x) for x in sets])
+        sigs = linededup.signatures(np.concatenate(sets), np.repeat(np.arange(50), size), size)
+        key = np.sort(rng.integers(0, 4, 50)).astype(np.uint32)
+        cols = [key, size.astype(np.uint32), np.zeros(50, np.uint32), rng.integers(0, 20, 50).astype(np.float32), np.arange(50), *sigs]
+        tried = rng.random(50) < 0.3
+        a, b = (x.ravel() for x in np.meshgrid(np.flatnonzero(tried), np.arange(50)))
+        need = b[linededup.fits(cols, a, cols, b, 0.8) & (key[a] == key[b]) & (cols[3][b] <= cols[3][a])]
+        assert {*need, *np.flatnonzero(tried)} <= {*linededup.partners(cols, tried, 0.8)}
+
+
 def test_equal_rows_lose_their_lines_but_once(spark):
     rows = [(None, "one line\n--\ntwo lines"), (None, "one line\n--\ntwo lines"), (1, None), (1, None)]
     got = sorted((r.text or "", r.n_lines, r.n_removed) for r in linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
